@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slabworks.functions import params as P
-from slabworks.session import materialise
+from slabworks.session import materialise, small_side
 
 QUANTILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 #: A snap farther than this many spreads of the anchor's values is none.
@@ -37,33 +37,51 @@ def label_key(c: Column) -> Column:
     return F.coalesce(P.canonical_curie(c), F.nullif(s, F.lit("")))
 
 
-def observations(params: DataFrame, attributes: DataFrame, key: str, structured: bool) -> DataFrame:
-    """(table key, attribute, its kind's unit, label, number) of every parameter that reads as a number.
+SPELLED = ["accession", "name", "unit"]
 
-    structured: the value is a struct of slots, else text.
+
+def spellings(tables: list[DataFrame], attributes: DataFrame) -> DataFrame:
+    """What each way to write (accession, name, unit) says: attribute, common_unit, label; those of no such attribute are left out.
+
+    Sources repeat their spellings, so each is read once here and not on every row. The result is a
+    lookup side of measured size.
     """
     acc = attributes.where("common_unit is not null").select(
         P.canonical_curie(F.col("accession")).alias("acc_key"), F.col("accession").alias("attribute"),
         P.name_key(F.col("attribute_name")).alias("attr_name_key"), "common_unit",
     )
-    value = F.col("value")
-    number = P.number_of(value) if structured else P.number_in_text(value)
-    text = F.col("value.string") if structured else value
-    rows = params.select(
-        F.col(key).alias("row_id"), "run_id", P.canonical_curie(F.col("accession")).alias("r_acc"),
-        F.when(P.filled(F.col("accession")).isNull(), P.name_key(F.col("name"))).alias("r_name"), number.alias("number"),
-        F.coalesce(P.filled(F.col("unit")), P.unit_in_name(F.col("name")), P.unit_in_text(text)).alias("label"),
-    ).where("number is not null").withColumn("label", label_key(F.col("label")))
-    # the attribute table is a fixed vocabulary; Spark broadcasts it by its measured size, not by a hint
+    pairs = [t.select(*SPELLED).distinct() for t in tables]
+    written = pairs[0]
+    for more in pairs[1:]:
+        written = written.unionByName(more)
+    rows = written.distinct().select(
+        *SPELLED, P.canonical_curie(F.col("accession")).alias("r_acc"), F.when(P.filled(F.col("accession")).isNull(), P.name_key(F.col("name"))).alias("r_name"),
+        F.coalesce(P.filled(F.col("unit")), P.unit_in_name(F.col("name"))).alias("told"),
+    )
     by_acc = acc.select(F.struct("attribute", "common_unit").alias("a1"), "acc_key").dropDuplicates(["acc_key"])
     by_name = acc.select(F.struct("attribute", "common_unit").alias("a2"), "attr_name_key").dropDuplicates(["attr_name_key"])
-    return (
+    found = (
         rows.join(by_acc, F.col("r_acc") == F.col("acc_key"), "left")
         .join(by_name, F.col("r_name") == F.col("attr_name_key"), "left")
         .withColumn("a", F.coalesce("a1", "a2"))
         .where("a is not null")
-        .select("row_id", "run_id", F.col("a.attribute").alias("attribute"), F.col("a.common_unit").alias("common_unit"), "label", "number")
     )
+    return small_side(found.select(*[F.col(c).alias(f"w_{c}") for c in SPELLED], F.col("a.attribute").alias("attribute"), F.col("a.common_unit").alias("common_unit"), label_key(F.col("told")).alias("told")))
+
+
+def observations(params: DataFrame, said: DataFrame, key: str, structured: bool) -> DataFrame:
+    """(row_id, run_id, attribute, common_unit, label, number) of every parameter that reads as a number.
+
+    said: the spellings; structured: the value is a struct of slots, else text.
+    """
+    value = F.col("value")
+    text = F.col("value.string") if structured else value
+    on = F.lit(True)
+    for c in SPELLED:
+        on = on & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+    number = P.number_of(value) if structured else P.number_in_text(value)
+    rows = params.select(F.col(key).alias("row_id"), "run_id", *SPELLED, "value").join(said, on)
+    return rows.select("row_id", "run_id", "attribute", "common_unit", F.coalesce("told", label_key(P.unit_in_text(text))).alias("label"), number.alias("number")).where("number is not null")
 
 
 def units_with_keys(units: DataFrame) -> DataFrame:
@@ -133,6 +151,8 @@ def resolve_labels(stats: DataFrame, units: DataFrame, hops: int = 2) -> DataFra
             "attribute", F.col("factor").alias("af"), F.col("shift").alias("ash"), F.col("best.n").alias("an"), F.col("best.q").alias("aq")
         )
         unknown = stats.join(labels, "label", "left_anti").select("attribute", "a_kind", "label", "n", "q")
+        if unknown.isEmpty():
+            break
         pairs = unknown.join(anchors, "attribute").join(unit_rows.withColumnRenamed("kind", "u_kind"), F.col("a_kind") == F.col("u_kind"))
         # matched quantiles: slopes over halves of the range, then what remains as offset
         slopes = F.transform(F.sequence(F.lit(1), F.lit(len(QUANTILES) - 4)), lambda i: (F.element_at("q", i + 4) - F.element_at("q", i)) / (F.element_at("aq", i + 4) - F.element_at("aq", i)))
@@ -176,7 +196,8 @@ def normalise_units(spectrum_parameter: DataFrame, meta_param: DataFrame, attrib
     Columns: table_name, row_id, run_id, attribute, common_unit, label, number, recorded_unit, common_value.
     """
     tag = lambda df, name: df.select(F.lit(name).alias("table_name"), "*")
-    obs = tag(observations(spectrum_parameter, attributes, "param_id", True), "spectrum_parameter").unionByName(tag(observations(meta_param, attributes, "meta_id", False), "meta_param"))
+    said = spellings([spectrum_parameter, meta_param], attributes)
+    obs = tag(observations(spectrum_parameter, said, "param_id", True), "spectrum_parameter").unionByName(tag(observations(meta_param, said, "meta_id", False), "meta_param"))
     labels = resolve_labels(source_statistics(obs), units)
     return in_common_units(obs, labels, units)
 

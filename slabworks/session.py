@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most_rows: int = 200_000, most_chars: int = 32_000_000) -> DataFrame:
+    """A lookup side, written once and measured: marked for broadcast within these bounds, else left to a shuffled join."""
+    df = materialise(df)
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    chars = F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0)))
+    rows, size = df.agg(F.count("*"), chars).first()
+    return F.broadcast(df) if rows <= most_rows and (size or 0) <= most_chars else df
+
+
 def local_session(cores: int | str = "*", app: str = "slabworks") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slabworks.functions import params as P
+from slabworks.session import small_side
 
 ARROW = {"double": pa.float64(), "int": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 SPARK = {"double": T.DoubleType(), "int": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}
@@ -45,7 +46,10 @@ def cells(params: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
         return spark.createDataFrame([], "run_id string, spectrum_index bigint, slot int, num double, flag boolean, text string")
     blank = P.filled(F.col("accession")).isNull()
     slot = F.when(blank, look(by_name, P.name_key(F.col("name")))).otherwise(look(by_accession, P.canonical_curie(F.col("accession"))))
-    rows = params.where("run_id is not null and spectrum_index is not null").select("run_id", "spectrum_index", "param_id", "value", slot.cast("int").alias("slot")).where("slot is not null")
+    # each way to write accession and name is read once, not on every row
+    said = params.select("accession", "name").distinct().select(F.col("accession").alias("w_accession"), F.col("name").alias("w_name"), slot.cast("int").alias("slot")).where("slot is not null")
+    on = F.col("accession").eqNullSafe(F.col("w_accession")) & F.col("name").eqNullSafe(F.col("w_name"))
+    rows = params.where("run_id is not null and spectrum_index is not null").select("run_id", "spectrum_index", "param_id", "value", "accession", "name").join(small_side(said), on)
     of_type = lambda *ts: F.col("slot").isin([i for i, c in enumerate(columns) if c[2] in ts])
     value = F.col("value")
     typed = rows.select(

@@ -86,7 +86,7 @@ def _half_bytes(values: np.ndarray) -> bytes:
         else:
             out += [0, *parts]
     if len(out) % 2:
-        out.append(8)  # filler: a count of eight zero half-bytes at the very end is none
+        out.append(0)  # filler: a count of no zeros needs eight half-bytes behind it, so at the very end it is none
     a = np.array(out, dtype=np.uint8)
     return ((a[0::2] << 4) | a[1::2]).tobytes()
 
@@ -97,7 +97,7 @@ def _from_half_bytes(data: bytes) -> np.ndarray:
     out, i, n = [], 0, len(halves)
     while i < n:
         head = halves[i]
-        if i == n - 1 and head == 8:
+        if i == n - 1 and head == 0:
             break
         i += 1
         lead, fill = (head, 0) if head <= 8 else (head - 8, 0xF)

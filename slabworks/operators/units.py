@@ -94,7 +94,7 @@ def units_with_keys(units: DataFrame) -> DataFrame:
 
 def _median(a: Column) -> Column:
     """Of an array without nulls; the upper one of two middles."""
-    return F.element_at(F.array_sort(a), (F.floor(F.size(a) / 2) + 1).cast("int"))
+    return F.try_element_at(F.array_sort(a), (F.floor(F.size(a) / 2) + 1).cast("int"))
 
 
 def _readable(label: str, symbol: str, name: str) -> bool:
@@ -155,21 +155,23 @@ def resolve_labels(stats: DataFrame, units: DataFrame, hops: int = 2) -> DataFra
             break
         pairs = unknown.join(anchors, "attribute").join(unit_rows.withColumnRenamed("kind", "u_kind"), F.col("a_kind") == F.col("u_kind"))
         # matched quantiles: slopes over halves of the range, then what remains as offset
-        slopes = F.transform(F.sequence(F.lit(1), F.lit(len(QUANTILES) - 4)), lambda i: (F.element_at("q", i + 4) - F.element_at("q", i)) / (F.element_at("aq", i + 4) - F.element_at("aq", i)))
+        slopes = F.transform(F.sequence(F.lit(1), F.lit(len(QUANTILES) - 4)), lambda i: F.try_divide(F.element_at("q", i + 4) - F.element_at("q", i), F.element_at("aq", i + 4) - F.element_at("aq", i)))
         pairs = pairs.withColumn("slope", _median(F.filter(slopes, lambda x: x.isNotNull() & ~F.isnan(x)))).withColumn(
             "offset", _median(F.transform(F.arrays_zip("q", "aq"), lambda z: z["q"] - F.col("slope") * z["aq"]))
         )
         # the known conversion anchor -> candidate unit, and how far the source's quantiles lie from it
         k, o = F.col("af") / F.col("factor"), (F.col("ash") - F.col("shift")) / F.col("factor")
-        spread = F.greatest(F.abs(k) * (F.element_at("aq", 8) - F.element_at("aq", 2)), F.lit(1e-12))
+        spread = F.greatest(F.abs(k) * (F.element_at("aq", 8) - F.element_at("aq", 2)), 0.2 * F.abs(k * F.element_at("aq", 5) + o), F.lit(1e-12))
         off = F.aggregate(F.arrays_zip("q", "aq"), F.lit(0.0), lambda s, z: s + F.abs(z["q"] - (k * z["aq"] + o))) / len(QUANTILES) / spread
         scale_off = F.abs(F.log10(F.greatest(F.abs(F.coalesce("slope", F.lit(1.0))), F.lit(1e-12)) / F.abs(k)))
         scored = pairs.withColumn("far", off + F.least(scale_off, F.lit(1.0)) * 0.5).withColumn("w", F.least("n", "an").cast("double"))
+        # few values tell quantiles badly: what a readable label may be off grows as their number falls
+        scored = scored.withColumn("room", LOOSE * (1 + 4 / F.sqrt("w")))
         votes = (
             scored.groupBy("label", "unit", "symbol", "unit_name")
-            .agg((F.sum(F.col("far") * F.col("w")) / F.sum("w")).alias("far"), F.sum("n").alias("n"))
+            .agg((F.sum(F.col("far") * F.col("w")) / F.sum("w")).alias("far"), (F.sum(F.col("room") * F.col("w")) / F.sum("w")).alias("room"), F.sum("n").alias("n"))
             .withColumn("reads", readable("label", "symbol", "unit_name"))
-            .where(f"(reads and far <= {LOOSE}) or (far <= {STRICT} and n >= 30 and label rlike '^[A-Za-z°µ%][A-Za-z°µ% ./]*$')")
+            .where(f"(reads and far <= room) or (far <= {STRICT} and n >= 30 and label rlike '^[A-Za-z°µ%][A-Za-z°µ% ./]*$')")
         )
         new = votes.groupBy("label").agg(F.min_by("unit", F.struct((~F.col("reads")).cast("int"), "far", "unit")).alias("unit"))
         labels = materialise(labels.unionByName(new))

@@ -92,7 +92,7 @@ def draw(documents: DataFrame, targets: DataFrame, weight: Column | None = None,
     due = sizes.join(plan.where("due > 0"), "source").select("mix_name", "source", "doc_id", "n_tokens", "max_repeats", "due", x.alias("x"))
     certain = F.when(F.col("x") >= F.col("max_repeats"), F.col("max_repeats") - 1).otherwise(F.floor("x")).cast("int")
     ranked = due.withColumn("certain", certain).withColumn("p", F.col("x") - F.col("certain")).withColumn("u", uniform(seed, "mix_name", "doc_id"))
-    odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
+    odds = F.try_divide(F.col("u") / (1 - F.col("u")) * (1 - F.col("p")), F.col("p"))
     # the order of the odds as a number in [0, 1); certain ones (p = 1) come first, in random order among themselves
     order = F.when(F.col("p") >= 1 - 1e-9, F.col("u") / 2).when(F.col("p") <= 0, F.lit(1.0 - 1e-12)).otherwise(F.least(0.5 + odds / (1 + odds) / 2, F.lit(1.0 - 1e-12)))
     ranked = ranked.withColumn("r", order)

@@ -122,11 +122,12 @@ def nearest_times(meta: DataFrame, queries: DataFrame) -> DataFrame:
     ask = queries.where("at is not null").select(F.col("at").cast("double").alias("t"), F.lit(None).cast(side.schema["e"].dataType).alias("e"), F.col("query_id").cast("bigint"))
     both = materialise(side.unionByName(ask).repartitionByRange("t").withColumn("_part", F.spark_partition_id()))
     edges = both.groupBy("_part").agg(F.max("e").alias("last"), F.min("e").alias("first"))  # structs of nulls are skipped
-    by_part = W.orderBy("_part")
-    beside = edges.select("_part", F.max("last").over(by_part.rowsBetween(W.unboundedPreceding, -1)).alias("lo0"), F.min("first").over(by_part.rowsBetween(1, W.unboundedFollowing)).alias("hi0"))
+    by_part, back = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    beside = edges.select("_part", F.max("last").over(by_part).alias("lo0"), F.min("first").over(back).alias("hi0"))
     before = W.partitionBy("_part").orderBy("t", F.col("query_id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("_part").orderBy("t", F.col("query_id").isNull()).rowsBetween(0, W.unboundedFollowing)
-    found = both.withColumn("lo", F.last("e", ignorenulls=True).over(before)).withColumn("hi", F.first("e", ignorenulls=True).over(after)).where("query_id is not null")
+    # backwards, as a frame up to the end would be summed anew for every row
+    after = W.partitionBy("_part").orderBy(F.desc("t"), F.col("query_id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("lo", F.last("e", ignorenulls=True).over(before)).withColumn("hi", F.last("e", ignorenulls=True).over(after)).where("query_id is not null")
     told = found.join(beside, "_part").withColumn("lo", F.coalesce("lo", "lo0")).withColumn("hi", F.coalesce("hi", "hi0"))
     below, above = F.abs(F.col("t") - F.col("lo.time")), F.abs(F.col("hi.time") - F.col("t"))
     lower = F.col("hi").isNull() | (below < above) | ((below == above) & (F.col("lo.index") <= F.col("hi.index")))

@@ -114,7 +114,9 @@ def merge(digests: DataFrame, keys: list[str], delta: int = DELTA, by_part: bool
             m, w = cluster(np.concatenate(pdf["means"].to_list()), np.concatenate(pdf["weights"].to_list()), delta)
             return pd.DataFrame([(*group, m.tolist(), w.tolist(), pdf["low"].min(), pdf["high"].max())], columns=names)
 
-        return df.select(*names).groupBy(*by).applyInPandas(join, schema)
+        # few bytes but much work a row: a number of partitions of their own, which isn't merged again by size
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.select(*names).repartition(parts, *by).groupBy(*by).applyInPandas(join, schema)
 
     stepped = once(digests, [*keys, "part"]) if by_part and "part" in digests.columns else digests
     return once(stepped, keys)

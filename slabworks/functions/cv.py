@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIXES = ("MS", "UO")
 
@@ -125,3 +126,30 @@ def size_option(text: str) -> int:
 def slice_bounds(s: slice, n: int) -> tuple[int, int]:
     """Start and stop of a slice with its defaults."""
     return (0 if s.start is None else s.start, n if s.stop is None else s.stop)
+
+
+def plain_type(t: T.DataType, names: dict[str, str] | None = None) -> T.DataType:
+    """A type whose fields, at any depth, have the plain names their column names tell.
+
+    names: accession -> name to show instead, as an ontology would tell it. Of fields that would get the
+    same name only the first is renamed.
+    """
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(plain_type(t.elementType, names), t.containsNull)
+    if not isinstance(t, T.StructType):
+        return t
+    taken, fields = {f.name for f in t.fields}, []
+    for f in t.fields:
+        told = parse_column_name(f.name)
+        name = (names or {}).get(told.accession or "", told.name)
+        if name != f.name and name in taken:
+            name = f.name
+        taken.add(name)
+        fields.append(T.StructField(name, plain_type(f.dataType, names), f.nullable))
+    return T.StructType(fields)
+
+
+def rename_by_vocabulary(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Columns and nested fields by their plain names; values stay as they are."""
+    plain = plain_type(df.schema, names)
+    return df.select(*[F.col(f"`{a.name}`").cast(b.dataType).alias(b.name) for a, b in zip(df.schema.fields, plain.fields)])

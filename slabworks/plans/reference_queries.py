@@ -618,3 +618,24 @@ def mgf_export(spark, d):
     m = meta(spark, d).withColumn("id", F.concat(F.lit("order="), F.col("index").cast("string")))
     ions = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("index"), F.col("l_extendedprice").alias("mz"), F.col("l_linenumber").alias("charge"))
     return mgf_text(points(spark, d), m, ions)
+
+
+@query("SELECT spectrum_key, scan_time AS scan_start_time, total_ion_current FROM spectrum")
+def rename_by_vocabulary(spark, d):
+    """Inflected column names, nested ones too, as plain names."""
+    s = table(spark, d, "spectrum").select("spectrum_key", F.col("scan_time").alias("MS_1000016_scan_start_time_unit_UO_0000031"), F.struct(F.col("total_ion_current").alias("MS_1000285_total_ion_current_unit_MS_1000131")).alias("measures"))
+    return cv.rename_by_vocabulary(s).select("spectrum_key", "scan_start_time", "measures.total_ion_current")
+
+
+@query(MARKED + " SELECT index, pos, coalesce(x, 0) AS x FROM marked")
+def null_intensity_as_zero(spark, d):
+    """What a single-entity read gives for null intensities."""
+    return _marked(spark, d).withColumn("x", F.coalesce("x", F.lit(0.0)))
+
+
+@query(f"WITH {_SIDES} SELECT source_index, count(*) AS n, arg_max(target, coalesce(precursor_index, -1)) AS first_target, arg_min(target, coalesce(precursor_index, -1)) AS last_target FROM pre GROUP BY 1")
+def precursors_in_reverse(spark, d):
+    """Precursors of each source from the highest index down, so the lowest comes last; a null index is the lowest."""
+    pre, _ = _sides(spark, d)
+    lists = pre.groupBy("source_index").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("precursor_index", F.lit(-1)).alias("o"), "target")), asc=False).alias("p"))
+    return lists.select("source_index", F.size("p").cast("bigint").alias("n"), F.element_at("p", 1)["target"].alias("first_target"), F.element_at("p", -1)["target"].alias("last_target"))

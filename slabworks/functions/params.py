@@ -68,7 +68,8 @@ def number_in_text(c: Column) -> Column:
     """
     t = F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 1)
     plain = F.regexp_replace(t, r",(?=.*[.,])|(?<=,.{1,40}),|\.(?=.*[.,])|(?<=\..{1,40})\.", "")
-    return F.translate(plain, ",", ".").try_cast("double")
+    value = F.translate(plain, ",", ".").try_cast("double")
+    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))  # too long for a double: no number
 
 
 def is_placeholder(c: Column) -> Column:

@@ -39,7 +39,7 @@ def attribute_columns(attributes: DataFrame, owner_kind: str = "spectrum", most:
 def cells(params: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
     """One row per filled cell: (run_id, spectrum_index, slot, num, flag, text); slot is the column's place."""
     spark = params.sparkSession
-    by_accession = {P_key(a): i for i, (a, _, _) in enumerate(columns)}
+    by_accession = {accession_key(a): i for i, (a, _, _) in enumerate(columns)}
     by_name = {"".join(ch for ch in name if ch.isalnum()): i for i, (_, name, _) in enumerate(columns)}
     look = lambda table, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
     if not columns:
@@ -60,7 +60,7 @@ def cells(params: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
     return typed.groupBy("run_id", "spectrum_index", "slot").agg(best).select("run_id", "spectrum_index", "slot", "c.num", "c.flag", "c.text")
 
 
-def P_key(accession: str) -> str:
+def accession_key(accession: str) -> str:
     prefix, _, digits = accession.strip().upper().replace("_", ":").partition(":")
     return f"{prefix}:{digits.lstrip('0').rjust(7, '0')}"
 

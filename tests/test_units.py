@@ -53,7 +53,7 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("text, number, unit", [("1,5", 1.5, None), ("1,032.5 ms", 1032.5, "ms"), ("1.604.144,1", 1604144.1, None), ("1,604,144", 1604144.0, None), ("1.2e+01[nm]", 12.0, "nm"),
-                                                 ("  7 (deg C) ", 7.0, "deg C"), ("teal 7", None, None), ("12:30", None, None), ("", None, None), ("−", None, None), ("NaN?", None, None), (None, None, None), ("-.5 V", -0.5, "V")])
+                                                 ("  7 (deg C) ", 7.0, "deg C"), ("teal 7", None, None), ("12:30", None, None), ("", None, None), ("−", None, None), ("NaN?", None, None), (None, None, None), ("-.5 V", -0.5, "V"), ("1e999", None, None)])
 def test_numbers_in_text(spark, text, number, unit):
     r = spark.createDataFrame([(text,)], "t string").select(P.number_in_text(F.col("t")).alias("n"), P.unit_in_text(F.col("t")).alias("u")).first()
     assert (r.n, r.u) == (number, unit)

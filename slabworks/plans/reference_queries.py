@@ -548,9 +548,16 @@ def column_to_param(spark, d):
 
 @query("SELECT param_id, coalesce(CAST(value.integer AS VARCHAR), value.string, CAST(value.boolean AS VARCHAR)) AS text FROM spectrum_parameter WHERE value.float IS NULL")
 def param_value_text(spark, d):
+    """Rows without a float only, as in the SQL, which writes floats otherwise; param_value_text_whole has every row."""
     return table(spark, d, "spectrum_parameter").where("value.float is null").select("param_id", params.value_text(F.col("value")).alias("text"))
 
 
+@query()
+def param_value_text_whole(spark, d):
+    """Every parameter's value as text; engines write floats differently, so there is no SQL."""
+    return table(spark, d, "spectrum_parameter").select("param_id", params.value_text(F.col("value")).alias("text"))
+
+
 @query("SELECT attribute_name, replace(accession, ':', '_') || '_' || regexp_replace(replace(attribute_name, 'm/z', 'mz'), '[^a-zA-Z0-9]', '_', 'g') || coalesce('_unit_' || replace(common_unit, ':', '_'), '') AS column_name FROM attribute_ref")
 def cv_inflect(spark, d):
     return table(spark, d, "attribute_ref").select("attribute_name", cv.column_name(F.col("accession"), F.col("attribute_name"), F.col("common_unit")).alias("column_name"))

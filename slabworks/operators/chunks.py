@@ -2,7 +2,9 @@
 
 A chunk is a row with the entity's key, the chunk's first and last coordinate, its coordinates in an
 encoding, and lists of the other columns. Plain and delta chunks keep the first coordinate only as the
-start; a chunk of one point has end = start. Decoding is higher-order functions on the lists, so a range
+start; a chunk of one point has end = start. Coordinates may be null: start and end are the first and last
+that aren't, deltas behind a null are absolute, and where the first point's coordinate is null it is listed,
+so the list is as long as the others. Decoding is higher-order functions on the lists, so a range
 query filters chunks by their bounds before any list is opened. Numpress and byte payloads need loops or
 byte views and go through Arrow batches.
 """
@@ -27,16 +29,19 @@ ASCII = "MS:1001479"
 
 
 def encode_chunks(points: DataFrame, width: float, encoding: str = DELTA, key: str = "index", pos: str = "pos", axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> DataFrame:
-    """Chunk rows of an entity's points (ascending coordinates without nulls)."""
+    """Chunk rows of an entity's points (ascending coordinates, nulls between them)."""
     cut = signal.chunk_ids(points.select(key, pos, axis, *others), key, pos, axis, width)
     lists = cut.groupBy(key, "chunk_id").agg(F.sort_array(F.collect_list(F.struct(pos, axis, *others))).alias("r"))
     values = F.col(f"r.{axis}")
-    rest = F.slice(values, 2, F.greatest(F.size("r") - 1, F.lit(0)))
-    stepped = F.transform(F.sequence(F.lit(2), F.size("r")), lambda i: F.element_at(values, i) - F.element_at(values, i - 1))
+    head = F.when(F.element_at(values, 1).isNull(), F.slice(values, 1, 1)).otherwise(F.slice(values, 1, 0))
+    rest = F.concat(head, F.slice(values, 2, F.greatest(F.size("r") - 1, F.lit(0))))
+    delta = lambda i: F.when(F.element_at(values, i - 1).isNull(), F.element_at(values, i)).otherwise(F.element_at(values, i) - F.element_at(values, i - 1))
+    stepped = F.concat(head, F.transform(F.sequence(F.lit(2), F.size("r")), delta))
     told = {PLAIN: rest, DELTA: F.when(F.size("r") > 1, stepped).otherwise(rest)}
     kept = {PLAIN: told[PLAIN], DELTA: told[DELTA], NUMPRESS_LINEAR: values}[encoding]
+    some = F.array_compact(values)
     out = lists.select(
-        key, "chunk_id", F.element_at(values, 1).alias(f"{axis}_chunk_start"), F.element_at(values, -1).alias(f"{axis}_chunk_end"), kept.alias(f"{axis}_chunk_values"),
+        key, "chunk_id", F.try_element_at(some, F.lit(1)).alias(f"{axis}_chunk_start"), F.try_element_at(some, F.lit(-1)).alias(f"{axis}_chunk_end"), kept.alias(f"{axis}_chunk_values"),
         F.lit(encoding).alias("chunk_encoding"), *[F.col(f"r.{o}").alias(o) for o in others],
     )
     if encoding != NUMPRESS_LINEAR:
@@ -44,19 +49,27 @@ def encode_chunks(points: DataFrame, width: float, encoding: str = DELTA, key: s
     return out.withColumn(f"{axis}_numpress_linear_bytes", encode_linear(F.col(f"{axis}_chunk_values"))).withColumn(f"{axis}_chunk_values", F.array().cast("array<double>"))
 
 
-def decoded_axis(axis: str = "mz") -> Column:
-    """A chunk's coordinates from its encoding, as an expression."""
-    start, values = F.col(f"{axis}_chunk_start").cast("double"), F.col(f"{axis}_chunk_values")
-    summed = F.aggregate(values, F.array(start), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
-    return F.when(F.col("chunk_encoding") == DELTA, summed).otherwise(F.concat(F.array(start), values.cast("array<double>")))
+def decoded_axis(axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> Column:
+    """A chunk's coordinates from its encoding, as an expression.
+
+    The lists of other columns tell whether the first coordinate is listed. Without them it is taken to be
+    if it is null and the second isn't: two nulls at the front stand behind a start of their own.
+    """
+    start, values = F.col(f"{axis}_chunk_start").cast("double"), F.col(f"{axis}_chunk_values").cast("array<double>")
+    null_at = lambda i: F.try_element_at(values, F.lit(i)).isNull()
+    listed = F.size(values) == F.size(others[0]) if others else (F.size(values) > 0) & null_at(1) & ((F.size(values) == 1) | ~null_at(2) | start.isNull())
+    head = F.when(~listed, start)
+    rest = F.when(listed, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))).otherwise(values)
+    summed = F.aggregate(rest, F.array(head), lambda acc, d: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1) + d, d))))
+    return F.when(F.col("chunk_encoding") == DELTA, summed).otherwise(F.concat(F.array(head), rest))
 
 
 def decode_chunks(chunks: DataFrame, key: str = "index", axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> DataFrame:
     """Points of chunks: key, chunk_id, place in the chunk, coordinate and the other columns."""
     if f"{axis}_numpress_linear_bytes" in chunks.columns:
-        coords = F.when(F.col("chunk_encoding") == NUMPRESS_LINEAR, decode_linear(F.col(f"{axis}_numpress_linear_bytes"))).otherwise(decoded_axis(axis))
+        coords = F.when(F.col("chunk_encoding") == NUMPRESS_LINEAR, decode_linear(F.col(f"{axis}_numpress_linear_bytes"))).otherwise(decoded_axis(axis, others))
     else:
-        coords = decoded_axis(axis)
+        coords = decoded_axis(axis, others)
     zipped = chunks.withColumn(axis, coords).select(key, "chunk_id", F.posexplode(F.arrays_zip(axis, *others)).alias("place", "p"))
     return zipped.select(key, "chunk_id", "place", f"p.{axis}", *[f"p.{o}" for o in others])
 
@@ -110,13 +123,16 @@ def _from_half_bytes(data: bytes) -> np.ndarray:
 
 
 def linear_encode(values: np.ndarray) -> bytes:
-    """Fixed point, then the second differences as half-bytes."""
-    v = np.asarray(values, dtype=float)
+    """Fixed point, then the second differences as half-bytes; nulls are written as zeros."""
+    v = np.nan_to_num(np.asarray(values, dtype=float), nan=0.0)
     most = max(float(np.abs(v).max()) if len(v) else 0.0, 1e-12)
     if len(v) > 2:
         most = max(most, float(np.abs(v[2:] - 2 * v[1:-1] + v[:-2]).max()))
     point = np.floor(0x7FFFFFFF / most)
     ints = np.floor(v * point + 0.5).astype(np.int64)
+    if np.abs(np.diff(ints, 2)).max(initial=0) > 0x7FFFFFFF:  # rounding adds up to 2 to a second difference
+        point = np.floor((0x7FFFFFFF - 4) / most)
+        ints = np.floor(v * point + 0.5).astype(np.int64)
     head = np.array([point], dtype=">f8").tobytes() + ints[:2].astype("<i4").tobytes()
     return head + (_half_bytes(ints[2:] - (2 * ints[1:-1] - ints[:-2])) if len(v) > 2 else b"")
 

@@ -1,14 +1,19 @@
 """Order-dependent kernels on one entity's points.
 
 Frames have an entity key, a position that orders its rows (coordinates may be null, so they can't), and
-values. All kernels here are window expressions; nulls are never zeros.
+values. The kernels are window expressions, chunking alone is a loop over ordered rows; nulls are never zeros.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 
@@ -74,20 +79,68 @@ def run_ids(df: DataFrame, key: str, pos: str, x: str, name: str = "run_id") ->
 
 
 def chunk_ids(df: DataFrame, key: str, pos: str, x: str, width: float, name: str = "chunk_id") -> DataFrame:
-    """Chunks of a given width over ascending values without nulls; only an entity's last chunk may have one row.
+    """Chunks of a given width over ascending values, null-aware; only an entity's last chunk may have one row.
 
-    Bins closed on the right from the first value on; of neighbouring one-row bins every second one joins
-    the one before it, and so does a longer bin behind an unpaired one-row bin.
+    Bins closed on the right from the first value on. A value in a later bin opens a chunk, or, with nulls
+    behind it, closes one: of a run of nulls the last opens the next chunk and the others stay with the value
+    before them. A cut that would leave one row alone is passed over. Nulls before the first value are in the
+    first chunk. What a cut does depends on the cuts before it, so the rows pass in order through a loop
+    that holds one row back.
     """
-    w = in_order(key, pos)
-    binned = df.withColumn("_bin", F.greatest(F.lit(0), F.ceil((F.col(x) - F.first(x).over(w.rowsBetween(W.unboundedPreceding, 0))) / width) - 1).cast("bigint"))
-    bins = binned.groupBy(key, "_bin").agg((F.count("*") == 1).alias("_one"))
-    wb = W.partitionBy(key).orderBy("_bin")
-    bins = bins.withColumn("_grp", F.sum((~F.col("_one")).cast("int")).over(wb.rowsBetween(W.unboundedPreceding, 0)))
-    bins = bins.withColumn("_even", F.col("_one") & ((F.row_number().over(W.partitionBy(key, "_grp", "_one").orderBy("_bin")) - 1) % 2 == 0))
-    starts = F.when(F.col("_one"), F.col("_even")).otherwise(~F.coalesce(F.lag("_even").over(wb), F.lit(False)))
-    bins = bins.withColumn("_start", starts.cast("int")).withColumn(name, F.sum("_start").over(wb.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    return binned.join(bins.select(key, "_bin", name), [key, "_bin"]).drop("_bin")
+    fields = df.schema
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, first, chunk, level, offset, at = object(), None, 0, 0, 0, 0
+        # held: nothing, a value in a later bin, a null behind such a value, or another null
+        held = ""
+        carry: pa.Table | None = None
+        ids: list[int] = []
+
+        def release(opens: bool, place: int) -> None:
+            nonlocal chunk, offset
+            if opens:
+                chunk, offset = chunk + 1, place
+            ids.append(chunk)
+
+        for batch in batches:
+            keys, values = batch.column(fields.names.index(key)).to_pylist(), batch.column(fields.names.index(x)).to_pylist()
+            for k, v in zip(keys, values):
+                if k != entity:
+                    if held:
+                        release(held in ("value", "behind") and at - 1 - offset != 1, at - 1)
+                    entity, first, chunk, level, offset, at, held = k, None, 0, 0, 0, 0, ""
+                if v is None:
+                    if held:
+                        ids.append(chunk)
+                    held = "behind" if held in ("value", "behind") else "null"
+                else:
+                    v = float(v)
+                    if first is None:
+                        first = v
+                    in_bin = max(0, ceil((v - first) / width) - 1)
+                    if held in ("value", "behind"):
+                        release(at - 1 - offset != 1, at - 1)
+                    elif held == "null":
+                        release(in_bin > level, at - 1)
+                        level = max(level, in_bin)
+                    held = "value" if in_bin > level else ""
+                    level = max(level, in_bin)
+                    if not held:
+                        ids.append(chunk)
+                at += 1
+            rows = pa.Table.from_batches([batch])
+            rows = rows if carry is None else pa.concat_tables([carry, rows])
+            n = len(ids)
+            carry = rows.slice(n)
+            yield from rows.slice(0, n).append_column(name, pa.array(ids, pa.int64())).combine_chunks().to_batches()
+            ids.clear()
+        if held:
+            release(held in ("value", "behind") and at - 1 - offset != 1, at - 1)
+            yield from carry.append_column(name, pa.array(ids, pa.int64())).combine_chunks().to_batches()
+
+    ordered = df.repartition(parts, key).sortWithinPartitions(key, pos)
+    return ordered.mapInArrow(cut, T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
 def null_segments(df: DataFrame, key: str, pos: str, x: str, name: str = "segment") -> DataFrame:

@@ -389,6 +389,44 @@ def chunk_extract(spark, d):
     return c.select("index", "chunk_id", F.round("mz", 4).alias("mz"), "intensity")
 
 
+def _marked_axis(spark, d):
+    """Coordinates of the signals, ascending and above zero, null with the value where zeros are paired."""
+    s = signals(spark, d).select("index", "pos", (F.col("pos") / 64.0 + 1).alias("mz"), F.col("x").alias("intensity"))
+    return signal.null_mark(s, "index", "pos", "intensity", ["mz"])
+
+
+_MARKED_AXIS = MARKED + ", pts AS (SELECT index, pos, CASE WHEN x IS NULL AND raw IS NOT NULL THEN NULL ELSE pos END AS event, x AS intensity FROM (SELECT m.*, sig.x AS raw FROM marked m JOIN sig USING (index, pos)))"
+
+
+@query(_MARKED_AXIS + " SELECT index, count(*) AS n_points, count(event) AS n_coordinates, min(event) AS first_event, max(event) AS last_event FROM pts GROUP BY 1")
+def chunk_encode_marked(spark, d):
+    """Chunks of null-marked points: points, coordinates and bounds of each entity."""
+    c = chunks.encode_chunks(_marked_axis(spark, d), WIDTH)
+    event = lambda x: F.round((F.col(x) - 1) * 64).cast("bigint")
+    absolute = F.size(F.array_compact("mz_chunk_values")) + (F.size("mz_chunk_values") < F.size("intensity")).cast("int")
+    return c.groupBy("index").agg(F.sum(F.size("intensity")).alias("n_points"), F.sum(absolute).alias("n_coordinates"), F.min(event("mz_chunk_start")).alias("first_event"), F.max(event("mz_chunk_end")).alias("last_event"))
+
+
+def _decoded_marked(encoding: str) -> Query:
+    def f(spark, d):
+        c = chunks.decode_chunks(chunks.encode_chunks(_marked_axis(spark, d), WIDTH, encoding))
+        n = F.row_number().over(W.partitionBy("index").orderBy("chunk_id", "place")).cast("bigint")
+        return c.select("index", n.alias("n"), F.round((F.col("mz") - 1) * 64).cast("bigint").alias("event"), "intensity")
+
+    return f
+
+
+for _name, _encoding in (("chunk_decode_delta_marked", chunks.DELTA), ("chunk_decode_plain_marked", chunks.PLAIN), ("chunk_decode_numpress_marked", chunks.NUMPRESS_LINEAR)):
+    QUERIES[_name] = _decoded_marked(_encoding)
+    ORACLES[_name] = _MARKED_AXIS + " SELECT index, row_number() OVER (PARTITION BY index ORDER BY pos) AS n, event, intensity FROM pts"
+
+
+@query(_MARKED_AXIS + " SELECT index, event, intensity FROM pts WHERE event BETWEEN 576 AND 1216")
+def chunk_extract_marked(spark, d):
+    c = chunks.extract_from_chunks(chunks.encode_chunks(_marked_axis(spark, d), WIDTH), 10.0, 20.0)
+    return c.select("index", F.round((F.col("mz") - 1) * 64).cast("bigint").alias("event"), "intensity")
+
+
 @query("SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS place, unnest(embedding) AS x FROM embeddings")
 def list_explode(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "x"))

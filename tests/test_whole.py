@@ -1,8 +1,14 @@
 """Inputs that the smallest tables don't show: every row, nulls in any column, long chains."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slabworks.functions import params
+from slabworks.operators import chunks as C
+from slabworks.operators import signal
 from slabworks.plans import reference_queries
 from slabworks.session import table
 
@@ -24,3 +30,88 @@ def test_value_text_of_every_slot(spark, sf):
         values.setdefault(r.param_id, []).append(tuple(r.value) if r.value is not None else None)
     assert len(got) == len(rows) and all(any(same(v, r.text) for v in values[r.param_id]) for r in got)
     assert sum(v[1] is not None for vs in values.values() for v in vs if v) > len(rows) / 3
+
+
+def chunk_starts(v, width):
+    """The rows that open a chunk, by a loop over places that steps over nulls."""
+    first = next((x for x in v if x is not None), None)
+    if first is None:
+        return [0]
+    starts, k, i, n = [0], 1, 0, len(v)
+    while i < n:
+        at = v[i]
+        if at is not None and at > first + k * width:
+            while i + 1 < n and v[i + 1] is None:
+                i += 1
+            if i - starts[-1] != 1:
+                starts.append(i)
+        elif at is None and i + 1 < n and v[i + 1] is not None:
+            at = v[i + 1]
+            if at > first + k * width:
+                starts.append(i)
+            else:
+                i += 1
+        while at is not None and first + k * width < at:
+            k += 1
+        i += 1
+    return starts
+
+
+def marked_lists(n, seed):
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        v, most = [], r.choice([0.1, 0.4, 0.7])
+        for x in sorted(r.sample(range(1, 61), r.randint(1, 14))):
+            v += [float(x)] + [None] * (r.random() < most and r.choice([1, 2, 2, 2, 3]))
+        out.append([None] * r.choice([0, 0, 1, 2]) + v)
+    return [*out, [None], [None, None, None], [5.0], [None, 5.0], [5.0, None], [None, None, 5.0, 50.0], [1.0, 50.0, None, None, 51.0], [1.0, None, None, 50.0, None, None, 99.0, None]]
+
+
+def test_null_aware_chunks_as_the_loop(spark):
+    lists = marked_lists(400, 3)
+    df = spark.createDataFrame([(k, i, x) for k, v in enumerate(lists) for i, x in enumerate(v)], "index bigint, pos bigint, x double")
+    got = {(r["index"], r.pos): r.chunk_id for r in signal.chunk_ids(df, "index", "pos", "x", 5.0).collect()}
+    for k, v in enumerate(lists):
+        assert [i for i in range(len(v)) if i == 0 or got[k, i] != got[k, i - 1]] == chunk_starts(v, 5.0), v
+        assert got[k, 0] == 0 and len(v) == sum(a == k for a, _ in got)
+
+
+def test_null_aware_chunks_over_many_batches(spark):
+    lists = marked_lists(60, 4)
+    df = spark.createDataFrame([(k, i, x) for k, v in enumerate(lists) for i, x in enumerate(v)], "index bigint, pos bigint, x double")
+    want = {tuple(r) for r in signal.chunk_ids(df, "index", "pos", "x", 5.0).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {tuple(r) for r in signal.chunk_ids(df, "index", "pos", "x", 5.0).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("encoding", [C.PLAIN, C.DELTA, C.NUMPRESS_LINEAR])
+def test_null_marked_points_come_back(spark, encoding):
+    lists = marked_lists(200, 5)
+    df = spark.createDataFrame([(k, i, x, float(i)) for k, v in enumerate(lists) for i, x in enumerate(v)], "index bigint, pos bigint, mz double, intensity double")
+    coded = C.encode_chunks(df, 5.0, encoding)
+    back = {}
+    for r in C.decode_chunks(coded).orderBy("index", "chunk_id", "place").collect():
+        back.setdefault(r["index"], []).append((r.mz, r.intensity))
+    for k, v in enumerate(lists):
+        assert [y for _, y in back[k]] == list(range(len(v)))
+        assert [x is None for x, _ in back[k]] == [x is None for x in v] and [x for x, _ in back[k] if x is not None] == pytest.approx([x for x in v if x is not None], abs=1e-4)
+    near = C.extract_from_chunks(coded, 19.5, 40.5).count()
+    assert near == sum(x is not None and 20 <= x <= 40 for v in lists for x in v)
+
+
+def test_deltas_behind_nulls_are_absolute(spark):
+    df = spark.createDataFrame([(0, i, x, 0.0) for i, x in enumerate([None, 10.0, 10.5, None, None, 12.0])] + [(1, i, x, 0.0) for i, x in enumerate([10.0, None, None, 12.0])], "index bigint, pos bigint, mz double, intensity double")
+    rows = {r["index"]: r for r in C.encode_chunks(df, 50.0).collect()}
+    assert rows[0].mz_chunk_values == [None, 10.0, 0.5, None, None, 12.0] and rows[1].mz_chunk_values == [None, None, 12.0]
+    assert all((r.mz_chunk_start, r.mz_chunk_end) == (10.0, 12.0) for r in rows.values())
+
+
+def test_numpress_keeps_second_differences_in_range():
+    for k in range(2, 200):
+        v = np.array([0, 0x7FFFFFFF / 2 / k, 0, 0x7FFFFFFF / 2 / k])
+        back = C.linear_decode(C.linear_encode(v))
+        assert np.abs(np.nan_to_num(back) - v).max() <= 1 + v.max() * 1e-6

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slabworks.functions import params
 from slabworks.operators import chunks as C
-from slabworks.operators import signal
+from slabworks.operators import nested, signal
 from slabworks.plans import reference_queries
 from slabworks.session import table
 
@@ -115,3 +115,12 @@ def test_numpress_keeps_second_differences_in_range():
         v = np.array([0, 0x7FFFFFFF / 2 / k, 0, 0x7FFFFFFF / 2 / k])
         back = C.linear_decode(C.linear_encode(v))
         assert np.abs(np.nan_to_num(back) - v).max() <= 1 + v.max() * 1e-6
+
+
+def test_children_of_records_without_loaded_at(spark):
+    P = "struct<value:struct<integer:bigint,float:double,string:string,boolean:boolean>,accession:string,name:string,unit:string>"
+    p = lambda i: ((i, None, None, None), None, None, None)
+    s = spark.createDataFrame([(1, [p(1)], None, None), (1, [p(1)], None, None), (2, [p(2)], None, None), (2, [p(3), p(4)], None, "2025")], f"spectrum_key bigint, parameters array<{P}>, auxiliary_arrays array<struct<data:array<smallint>,parameters:array<{P}>>>, loaded_at string")
+    i = spark.createDataFrame([(9, [p(5)], None)], f"ion_id bigint, parameters array<{P}>, loaded_at string")
+    found = nested.parameter_table(nested.run_children(s, i, with_record=True)).collect()
+    assert sorted((r.owner_table, r.owner_id, r.value_integer) for r in found) == [("selected_ion", 9, 5), ("spectrum", 1, 1), ("spectrum", 2, 3), ("spectrum", 2, 4)]

@@ -130,12 +130,12 @@ def source_statistics(obs: DataFrame) -> DataFrame:
     )
 
 
-def resolve_labels(stats: DataFrame, units: DataFrame, hops: int = 2) -> DataFrame:
+def resolve_labels(stats: DataFrame, units: DataFrame) -> DataFrame:
     """(label, unit) for every label that can be told.
 
     stats holds a row per (attribute, label), so each step here works on aggregates: the pairs made are
-    labels times the units of one kind, never labels times labels. hops: how often newly told labels
-    serve as anchors for attributes that have none of their own.
+    labels times the units of one kind, never labels times labels. Newly told labels serve as anchors for
+    attributes that have none of their own, round after round, until a round tells none.
     """
     named = units_with_keys(units).dropDuplicates(["label"])
     unit_rows = units.select(
@@ -144,7 +144,7 @@ def resolve_labels(stats: DataFrame, units: DataFrame, hops: int = 2) -> DataFra
     kinds = unit_rows.select(F.col("unit").alias("common_unit"), F.col("kind").alias("a_kind"))
     stats = materialise(stats.join(kinds, "common_unit"))
     labels = named.select("label", "unit")
-    for _ in range(hops):
+    while True:
         told = stats.join(labels, "label").join(unit_rows, "unit").where("kind = a_kind")
         # the anchors of an attribute: per unit the best-filled source, so at most one per unit of its kind
         anchors = told.groupBy("attribute", "unit", "kind", "factor", "shift").agg(F.max_by(F.struct("n", "q"), "n").alias("best")).select(
@@ -174,6 +174,9 @@ def resolve_labels(stats: DataFrame, units: DataFrame, hops: int = 2) -> DataFra
             .where(f"(reads and far <= room) or (far <= {STRICT} and n >= 30 and label rlike '^[A-Za-z°µ%][A-Za-z°µ% ./]*$')")
         )
         new = votes.groupBy("label").agg(F.min_by("unit", F.struct((~F.col("reads")).cast("int"), "far", "unit")).alias("unit"))
+        new = materialise(new)
+        if new.isEmpty():
+            break
         labels = materialise(labels.unionByName(new))
     return labels
 

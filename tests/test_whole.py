@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slabworks.functions import params
 from slabworks.operators import chunks as C
 from slabworks.operators import nested, signal
+from slabworks.operators import units as U
 from slabworks.plans import reference_queries
 from slabworks.session import table
 
@@ -124,3 +125,17 @@ def test_children_of_records_without_loaded_at(spark):
     i = spark.createDataFrame([(9, [p(5)], None)], f"ion_id bigint, parameters array<{P}>, loaded_at string")
     found = nested.parameter_table(nested.run_children(s, i, with_record=True)).collect()
     assert sorted((r.owner_table, r.owner_id, r.value_integer) for r in found) == [("selected_ion", 9, 5), ("spectrum", 1, 1), ("spectrum", 2, 3), ("spectrum", 2, 4)]
+
+
+def test_labels_are_told_along_a_chain_of_attributes(spark):
+    ms = "UO:0000028"
+    units = spark.createDataFrame(
+        [("UO:0000010", "s", "second", "duration", 1.0, 0.0), (ms, "ms", "millisecond", "duration", 1e-3, 0.0), ("UO:0000031", "min", "minute", "duration", 60.0, 0.0)],
+        "unit_curie string, symbol string, unit_name string, quantity_kind string, to_base_factor double, to_base_shift double",
+    )
+    names = ["ms", "msec", "msecs", "millisec", "millisecs", "millis"]
+    q = [float(x) for x in range(100, 1000, 100)]
+    rows = [(f"A{i}", ms, label, 1000, q) for i in range(len(names) - 1) for label in names[i : i + 2]]
+    stats = spark.createDataFrame(rows, "attribute string, common_unit string, label string, n bigint, q array<double>")
+    told = {r.label: r.unit for r in U.resolve_labels(stats, units).collect()}
+    assert {n: told.get(n) for n in names} == dict.fromkeys(names, ms)

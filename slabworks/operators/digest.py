@@ -167,13 +167,14 @@ def stated_error(n: str = "n", quantile: str = "quantile", delta: int = DELTA):
 def run_values(spectrum: DataFrame, selected_ion: DataFrame) -> DataFrame:
     """(field_name, ms_level, day, value) of ion intensities and total ion currents, of each record once.
 
-    An ion has the MS level of the spectrum it names, null if there is none.
+    An ion has the MS level of the spectrum it names, null if there is none. A record's row is its latest;
+    a null loaded_at is the earliest, and the day is null where all of a record's are.
     """
     spectra = spectrum.groupBy("spectrum_key").agg(
-        F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "ms_level", "total_ion_current"), "loaded_at").alias("s")
+        F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "ms_level", "total_ion_current"), F.struct("loaded_at")).alias("s")
     )
     tic = spectra.select(F.lit("total_ion_current").alias("field_name"), F.col("s.ms_level").cast("int").alias("ms_level"), F.to_date("loaded_at").alias("day"), F.col("s.total_ion_current").cast("double").alias("value"))
-    ions = selected_ion.groupBy("ion_id").agg(F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "intensity"), "loaded_at").alias("i"))
+    ions = selected_ion.groupBy("ion_id").agg(F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "intensity"), F.struct("loaded_at")).alias("i"))
     levels = spectrum.groupBy("run_id", "spectrum_index").agg(F.max("ms_level").cast("int").alias("ms_level"))
     ion_rows = ions.select("loaded_at", "i.*").join(levels, ["run_id", "spectrum_index"], "left")
     intensity = ion_rows.select(F.lit("intensity").alias("field_name"), "ms_level", F.to_date("loaded_at").alias("day"), F.col("intensity").cast("double").alias("value"))

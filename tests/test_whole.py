@@ -1,5 +1,6 @@
 """Inputs that the smallest tables don't show: every row, nulls in any column, long chains."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slabworks.functions import params
 from slabworks.operators import chunks as C
-from slabworks.operators import nested, signal
+from slabworks.operators import digest, nested, signal
 from slabworks.operators import units as U
 from slabworks.plans import reference_queries
 from slabworks.session import table
@@ -139,3 +140,14 @@ def test_labels_are_told_along_a_chain_of_attributes(spark):
     stats = spark.createDataFrame(rows, "attribute string, common_unit string, label string, n bigint, q array<double>")
     told = {r.label: r.unit for r in U.resolve_labels(stats, units).collect()}
     assert {n: told.get(n) for n in names} == dict.fromkeys(names, ms)
+
+
+def test_values_of_records_without_loaded_at_are_counted(spark):
+    at = dt.datetime(2025, 3, 1)
+    s = spark.createDataFrame([(1, "r", 0, 1, 10.0, None), (1, "r", 0, 1, 10.0, None), (2, "r", 1, 1, 20.0, None), (2, "r", 1, 1, 30.0, at)], "spectrum_key bigint, run_id string, spectrum_index bigint, ms_level int, total_ion_current double, loaded_at timestamp")
+    i = spark.createDataFrame([(9, "r", 0, 5.0, None)], "ion_id bigint, run_id string, spectrum_index bigint, intensity double, loaded_at timestamp")
+    v = digest.run_values(s, i)
+    day = dt.date(2025, 3, 1)
+    assert {(r.field_name, r.day, r.value) for r in v.collect()} == {("total_ion_current", None, 10.0), ("total_ion_current", day, 30.0), ("intensity", None, 5.0)}
+    told = digest.percentiles(v, digest.daily_digests(v), digest.DAY_KEYS).where("quantile = 0.5").collect()
+    assert {(r.field_name, r.day, r.n, r.value) for r in told} == {("total_ion_current", None, 1, 10.0), ("total_ion_current", day, 1, 30.0), ("intensity", None, 1, 5.0)}

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slabworks.functions import cv, params
-from slabworks.operators import chunks, extract, facets, models, signal, summaries
+from slabworks.operators import chunks, drift, extract, facets, models, signal, summaries
 from slabworks.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -623,6 +623,13 @@ def member_kinds(spark, d):
     return v.select(text("name").alias("name"), cv.data_kind(text("data_kind")).alias("data_kind"), cv.entity_type(text("entity_type")).alias("entity_type"))
 
 
+@query()
+def member_kinds_resolved(spark, d):
+    """The kinds of all file entries, whatever approved spelling their keys have; member_kinds reads the exact keys, as its SQL."""
+    entries = drift.ingest(table(spark, d, "archive_line"), "file_entry")
+    return entries.select("name", cv.data_kind(F.col("data_kind")).alias("data_kind"), cv.entity_type(F.col("entity_type")).alias("entity_type"))
+
+
 @query("SELECT DISTINCT spectrum_key, CAST(CASE polarity WHEN 1 THEN 1 WHEN -1 THEN -1 END AS TINYINT) AS polarity, CASE WHEN ms_level = 1 THEN 'MS:1000579' WHEN ms_level > 1 THEN 'MS:1000580' END AS spectrum_type FROM spectrum")
 def polarity_and_type(spark, d):
     return table(spark, d, "spectrum").select("spectrum_key", cv.polarity(F.col("polarity")).alias("polarity"), cv.default_spectrum_type(F.col("ms_level")).alias("spectrum_type")).distinct()

@@ -151,3 +151,12 @@ def test_values_of_records_without_loaded_at_are_counted(spark):
     assert {(r.field_name, r.day, r.value) for r in v.collect()} == {("total_ion_current", None, 10.0), ("total_ion_current", day, 30.0), ("intensity", None, 5.0)}
     told = digest.percentiles(v, digest.daily_digests(v), digest.DAY_KEYS).where("quantile = 0.5").collect()
     assert {(r.field_name, r.day, r.n, r.value) for r in told} == {("total_ion_current", None, 1, 10.0), ("total_ion_current", day, 1, 30.0), ("intensity", None, 1, 5.0)}
+
+
+def test_member_kinds_under_any_spelling(spark, tmp_path):
+    said = ['{"name": "a", "data_kind": "peaks", "entity_type": "spectrum"}', '{"fileName": "b", "dataKind": " Peaks ", "entityType": "chromatogram"}', '{"file_name": "c", "kind": "metadata", "entity": "spectrum"}', '{"name": "d", "data-kind": "data arrays", "entity_type": null}', "{"]
+    rows = [("file_entry", "f", 1, "x", i, line, None) for i, line in enumerate(said)]
+    lines = spark.createDataFrame(rows + rows[1:2], "record_kind string, feed_id string, file_seq bigint, file_id string, line_no bigint, raw_json string, loaded_at timestamp")
+    lines.write.parquet(f"{tmp_path}/archive_line.parquet")
+    got = sorted(tuple(r) for r in reference_queries.QUERIES["member_kinds_resolved"](spark, str(tmp_path)).collect())
+    assert got == [("a", "peaks", "spectrum"), ("b", "peaks", "chromatogram"), ("c", "metadata", "spectrum"), ("d", "data arrays", "other")]

@@ -266,6 +266,12 @@ def drop_all_null_columns(spark, d):
     return summaries.drop_all_null(rows)
 
 
+@query()
+def drop_all_null_columns_whole(spark, d):
+    """All rows and columns, and a column of nulls; drop_all_null_columns has the rows and columns of its SQL."""
+    return summaries.drop_all_null(table(spark, d, "selected_ion").withColumn("nothing", F.lit(None).cast("double")))
+
+
 # --- kernels -----------------------------------------------------------------------------------------
 
 

@@ -160,3 +160,12 @@ def test_member_kinds_under_any_spelling(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/archive_line.parquet")
     got = sorted(tuple(r) for r in reference_queries.QUERIES["member_kinds_resolved"](spark, str(tmp_path)).collect())
     assert got == [("a", "peaks", "spectrum"), ("b", "peaks", "chromatogram"), ("c", "metadata", "spectrum"), ("d", "data arrays", "other")]
+
+
+def test_empty_columns_of_the_whole_table(spark, sf):
+    ions = table(spark, sf, "selected_ion")
+    rows = ions.collect()
+    got = reference_queries.QUERIES["drop_all_null_columns_whole"](spark, sf)
+    assert got.columns == [c for c in ions.columns if any(r[c] is not None for r in rows)] and "charge_state" in got.columns
+    plain = lambda found: sorted(str(tuple(r[c] for c in got.columns)) for r in found)
+    assert plain(got.collect()) == plain(rows)

@@ -1,8 +1,9 @@
 """Quantities recorded in different units.
 
-Every way of writing a unit is a *source*. Sources that record the same attribute are linked; the
-matched quantiles of two linked sources give a robust scale (median of the slopes between quantiles)
-and offset (median of what remains), which is snapped to the conversions known between units. Sources
+Every way of writing a unit is a *source*. Sources that record the same attribute are linked by the
+quantiles of all their values, not entity by entity; the distance of the matched quantiles from each
+conversion known between units, and the robust scale (median of the slopes between quantiles), choose
+the conversion. The offset (median of what remains) is estimated but not scored. Sources
 that name their unit plainly (a CURIE, symbol or name of the unit table) anchor the graph; what a
 label means is then propagated from attribute to attribute along shared labels.
 

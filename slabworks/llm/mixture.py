@@ -34,18 +34,18 @@ def document_sizes(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def repetition_rates(sizes: DataFrame, targets: DataFrame) -> pd.DataFrame:
-    """Per (mix_name, source): target_share, max_repeats, tokens available and due, and the rate of copies per weight.
+    """Per (mix_name, source): target_share, max_repeats, tokens and documents available, the largest of them, tokens due, and the rate of copies per weight.
 
     Works on a histogram of weights per source: its rows are bounded by sources times weight classes.
     """
     classes = sizes.groupBy("source", F.floor(F.log2("weight") * WEIGHT_STEPS).alias("w_class")).agg(
-        F.sum("n_tokens").cast("double").alias("tokens"), F.sum(F.col("n_tokens") * F.col("weight")).alias("weighted")
+        F.sum("n_tokens").cast("double").alias("tokens"), F.sum(F.col("n_tokens") * F.col("weight")).alias("weighted"), F.count("*").alias("n"), F.max("n_tokens").alias("largest")
     )
     wanted = targets.where("target_share > 0 and max_repeats >= 1 and source is not null").groupBy("mix_name", "source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    rows = classes.join(wanted.select("source").distinct(), "source").toPandas()
+    rows = classes.join(F.broadcast(wanted.select("source").distinct()), "source").toPandas()
     plan = wanted.toPandas()
-    have = rows.groupby("source")["tokens"].sum() if len(rows) else pd.Series(dtype=float)
-    plan["available"] = plan["source"].map(have).fillna(0.0)
+    for name, column, how in (("available", "tokens", "sum"), ("n_available", "n", "sum"), ("largest", "largest", "max")):
+        plan[name] = plan["source"].map(rows.groupby("source")[column].agg(how) if len(rows) else pd.Series(dtype=float)).astype(float).fillna(0.0)
     live = plan["available"] > 0
     plan["share"] = np.where(live, plan["target_share"], 0.0)
     if not len(plan):
@@ -84,12 +84,13 @@ def draw(documents: DataFrame, targets: DataFrame, weight: Column | None = None,
     sizes = document_sizes(documents, path).withColumn("weight", (F.lit(1.0) if weight is None else weight).cast("double")).where("weight > 0")
     plan_rows = repetition_rates(sizes, targets)
     plan = spark.createDataFrame(
-        [(r.mix_name, r.source, float(r.target_share), int(r.max_repeats), float(r.available), float(r.due), float(r.rate)) for r in plan_rows.itertuples()],
-        "mix_name string, source string, target_share double, max_repeats int, available double, due double, rate double",
+        [(r.mix_name, r.source, float(r.target_share), int(r.max_repeats), float(r.available), int(r.n_available), int(r.largest), float(r.due), float(r.rate)) for r in plan_rows.itertuples()],
+        "mix_name string, source string, target_share double, max_repeats int, available double, n_available bigint, largest bigint, due double, rate double",
     )
     x = F.least(F.col("max_repeats").cast("double"), F.col("rate") * F.col("weight"))
-    # the plan has a row per mix and source: Spark broadcasts it by its size
-    due = sizes.join(plan.where("due > 0"), "source").select("mix_name", "source", "doc_id", "n_tokens", "max_repeats", "due", x.alias("x"))
+    # The plan and the two cut-offs have a row per mix and source of the targets and came from the driver: they
+    # are the sides broadcast. A frame of driver rows tells no size, so without the hint the documents would be.
+    due = sizes.join(F.broadcast(plan.where("due > 0")), "source").select("mix_name", "source", "doc_id", "n_tokens", "max_repeats", "due", x.alias("x"))
     certain = F.when(F.col("x") >= F.col("max_repeats"), F.col("max_repeats") - 1).otherwise(F.floor("x")).cast("int")
     ranked = due.withColumn("certain", certain).withColumn("p", F.col("x") - F.col("certain")).withColumn("u", uniform(seed, "mix_name", "doc_id"))
     odds = F.try_divide(F.col("u") / (1 - F.col("u")) * (1 - F.col("p")), F.col("p"))
@@ -107,14 +108,14 @@ def draw(documents: DataFrame, targets: DataFrame, weight: Column | None = None,
         .where("before < rest").groupBy(*keys).agg(F.max("b1").alias("cb1"), F.max_by("before", "b1").alias("before"), F.first("rest").alias("rest"))
     )
     crit1 = materialise(crit1)
-    level2 = ranked.join(crit1, keys).where("b1 = cb1").groupBy(*keys, "b1", "b2").agg(F.sum("n_tokens").alias("t"), F.first("before").alias("before0"), F.first("rest").alias("rest"))
+    level2 = ranked.join(F.broadcast(crit1), keys).where("b1 = cb1").groupBy(*keys, "b1", "b2").agg(F.sum("n_tokens").alias("t"), F.first("before").alias("before0"), F.first("rest").alias("rest"))
     upto2 = W.partitionBy(*keys).orderBy("b2").rowsBetween(W.unboundedPreceding, -1)
     crit2 = (
         level2.withColumn("before", F.col("before0") + F.coalesce(F.sum("t").over(upto2), F.lit(0))).where("before < rest")
         .groupBy(*keys).agg(F.max("b2").alias("cb2"), F.max_by("before", "b2").alias("before"), F.first("rest").alias("rest"))
     )
     crit2 = materialise(crit2.join(crit1.select(*keys, "cb1"), keys))
-    placed = ranked.join(crit2, keys, "left")
+    placed = ranked.join(F.broadcast(crit2), keys, "left")
     at = (F.col("b1") == F.col("cb1")) & (F.col("b2") == F.col("cb2"))
     sure = placed.where(~F.coalesce(at, F.lit(False))).withColumn("extra", F.coalesce(((F.col("b1") < F.col("cb1")) | ((F.col("b1") == F.col("cb1")) & (F.col("b2") < F.col("cb2")))).cast("int"), F.lit(0)))
     # within the last bucket, a 1/BUCKETS^2 of a source (ties apart), document by document
@@ -133,3 +134,22 @@ def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
         "mix_name", "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("actual_share"),
     )
+
+
+def certify(drawn: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per mix and source, what the draw promises: n_available, share_met, repeats_kept, mix_exhausted.
+
+    share_met: the tokens drawn are off the source's share of its mix's tokens by less than a document per
+    source. repeats_kept: no document came oftener than it may. mix_exhausted: some source of the mix gave
+    all its copies but for a document, so no larger mix has these shares.
+    """
+    got = shares(drawn, targets).select("mix_name", "source", "tokens", "most_copies")
+    mix = W.partitionBy("mix_name")
+    share = F.when(F.col("n_available") > 0, F.col("target_share")).otherwise(0.0)
+    rows = plan.join(got, ["mix_name", "source"]).withColumn("share", F.coalesce(share / F.nullif(F.sum(share).over(mix), F.lit(0.0)), F.lit(0.0)))
+    off = F.abs(F.col("tokens") - F.col("share") * F.sum("tokens").over(mix))
+    full = F.col("tokens") >= F.col("available") * F.col("max_repeats") - F.col("largest")
+    return rows.select(
+        "mix_name", "source", "n_available", (off <= F.col("largest") + F.col("share") * F.sum("largest").over(mix)).alias("share_met"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce(F.max(F.when(F.col("n_available") > 0, full)).over(mix), F.lit(True)).alias("mix_exhausted"),
+    )

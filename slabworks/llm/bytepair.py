@@ -234,3 +234,17 @@ def count_tokens(documents: DataFrame, keep: list[str], path: str | None = None,
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     return documents.select(*keep, F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def decode_corpus(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
+    """(doc_id, text) from the ids: the tokens' bytes behind each other."""
+    path = path or vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: t.encode("latin-1") for t, i in encoder(path).ids.items()}
+        for batch in batches:
+            texts = [b"".join(map(token.__getitem__, ids or ())).decode("utf-8") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, "ids").mapInArrow(run, f"{key} {kind}, text string")

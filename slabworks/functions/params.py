@@ -57,7 +57,8 @@ def unit_in_name(c: Column) -> Column:
 
 def unit_in_text(c: Column) -> Column:
     """The unit label behind the number of a value's text; null if there is none."""
-    return filled(F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 2))
+    # a bare number has none, and what doesn't begin like a number is none
+    return F.when(c.rlike(rf"^{BLANK}*[+-]?[.,]?\d.*[^\d.]"), filled(F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 2)))
 
 
 def number_in_text(c: Column) -> Column:
@@ -68,7 +69,9 @@ def number_in_text(c: Column) -> Column:
     """
     t = F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 1)
     plain = F.regexp_replace(t, r",(?=.*[.,])|(?<=,.{1,40}),|\.(?=.*[.,])|(?<=\..{1,40})\.", "")
-    value = F.translate(plain, ",", ".").try_cast("double")
+    value = F.coalesce(t.try_cast("double"), F.translate(plain, ",", ".").try_cast("double"))  # most have no sign to be told
+    # a bare number needs neither pattern; others are tried only if they begin like one
+    value = F.when(c.rlike(r"^[+-]?\d{1,17}(\.\d{1,17})?$"), c.cast("double")).when(c.rlike(rf"^{BLANK}*[+-]?[.,]?\d"), value)
     return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))  # too long for a double: no number
 
 

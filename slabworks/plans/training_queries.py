@@ -29,6 +29,13 @@ def p1_common_values(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every way a unit is written: the unit it was told to be, by what, and how many values have it."""
+    obs = units.read_parameters(table(spark, d, "spectrum_parameter"), table(spark, d, "meta_param"), table(spark, d, "attribute_ref"))
+    stats = units.source_statistics(obs)
+    return units.label_report(stats, units.resolve_labels(stats, table(spark, d, "unit_ref"), units.source_links(obs)))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.run_orphans(table(spark, d, "spectrum"), table(spark, d, "selected_ion"), table(spark, d, "data_processing"))
 
@@ -98,6 +105,7 @@ def p6_parameters(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_common_values": p1_common_values,
+    "p1_labels": p1_labels,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p3_percentiles": p3_percentiles,
@@ -129,34 +137,38 @@ _LABEL_ROWS = ", ".join(f"('{x}', '{u}')" for u, xs in _LABELS.items() for x in
 _SQ = r"trim(regexp_replace({}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 _CURIE = r"(CASE WHEN regexp_matches(upper({0}), '^[A-Z]+[:_ ][0-9]+$') THEN regexp_extract(upper({0}), '^([A-Z]+)', 1) || ':' || lpad(regexp_extract({0}, '[:_ ]0*([0-9]+)$', 1), 7, '0') END)"
 _NAME = r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({0}, '^[A-Za-z]+_[0-9]+_', ''), '_unit(_[A-Za-z]+_[0-9]+)?$', ''), ' *(\([^()]*\)|\[[^\[\]]*\]|,[^,]*)$', '')), '[^a-z0-9]+', '', 'g')"
-_NUM = r"'^[+-]?([0-9]+([.,][0-9]+)*[.]?|[.,][0-9]+)([eE][+-]?[0-9]+)? *[\[(]? *([^0-9\[\]()]*?) *[\])]?$'"
+_NUM = r"'^([+-]?([0-9]+([.,][0-9]+)*[.]?|[.,][0-9]+)([eE][+-]?[0-9]+)?) *[\[(]? *([^0-9\[\]()]*?) *[\])]?$'"
 
 
 def _sq(x: str) -> str:
     return _SQ.format(x)
 
 
-_P1 = f"""
+_P1_BASE = f"""
 WITH lab(label, unit) AS (VALUES {_LABEL_ROWS}),
 rows0 AS (
   SELECT 'spectrum_parameter' AS table_name, param_id AS row_id, {_sq('accession')} AS acc, {_sq('name')} AS name, {_sq('unit')} AS unit,
-         value.integer IS NOT NULL OR value.float IS NOT NULL AS is_number, {_sq('value.string')} AS v FROM spectrum_parameter
+         coalesce(CAST(value.integer AS DOUBLE), CASE WHEN CAST(value.float AS VARCHAR) NOT IN ('nan', 'inf', '-inf') THEN value.float END) AS number, {_sq('value.string')} AS v FROM spectrum_parameter
   UNION ALL
-  SELECT 'meta_param', meta_id, {_sq('accession')}, {_sq('name')}, {_sq('unit')}, false, {_sq('value')} FROM meta_param),
+  SELECT 'meta_param', meta_id, {_sq('accession')}, {_sq('name')}, {_sq('unit')}, NULL, {_sq('value')} FROM meta_param),
 rows1 AS (
-  SELECT table_name, row_id, acc, name,
+  SELECT table_name, row_id, acc, name, number, regexp_extract(v, {_NUM}, 1) AS t,
     coalesce(nullif(unit, ''), nullif(regexp_extract(name, '_unit_([A-Za-z]+_[0-9]+)$', 1), ''), nullif(trim(regexp_extract(name, '\\(([^()]*)\\)$', 1)), ''),
              nullif(trim(regexp_extract(name, '\\[([^\\[\\]]*)\\]$', 1)), ''), nullif(trim(regexp_extract(name, ',([^,]*)$', 1)), ''),
-             CASE WHEN NOT is_number THEN nullif(trim(regexp_extract(v, {_NUM}, 4)), '') END) AS label
-  FROM rows0 WHERE is_number OR regexp_matches(v, {_NUM})),
-rows2 AS (SELECT *, regexp_replace(replace(label, 'μ', 'µ'), '[.]$', '') AS lab FROM rows1),
+             CASE WHEN number IS NULL THEN nullif(trim(regexp_extract(v, {_NUM}, 5)), '') END) AS label
+  FROM rows0 WHERE number IS NOT NULL OR regexp_matches(v, {_NUM})),
+rows2 AS (
+  SELECT *, regexp_replace(replace(label, 'μ', 'µ'), '[.]$', '') AS lab, regexp_extract(t, '([.,])[^.,]*$', 1) AS mark, regexp_extract(t, '^(.*)[.,][^.,]*$', 1) AS front, regexp_extract(t, '[.,]([^.,]*)$', 1) AS back FROM rows1),
 rows3 AS (
-  SELECT DISTINCT table_name, row_id, coalesce(a.common_unit, b.common_unit) AS common_unit, coalesce({_CURIE.format('r.lab')}, l.unit) AS recorded_unit
+  SELECT DISTINCT table_name, row_id, coalesce(a.accession, b.accession) AS attribute, coalesce(a.common_unit, b.common_unit) AS common_unit, coalesce({_CURIE.format('r.lab')}, l.unit) AS recorded_unit,
+    coalesce(number, CASE WHEN mark = '' THEN CAST(t AS DOUBLE) WHEN contains(front, mark) THEN CAST(regexp_replace(t, '[.,]', '', 'g') AS DOUBLE) ELSE CAST(regexp_replace(front, '[.,]', '', 'g') || '.' || back AS DOUBLE) END) AS number
   FROM rows2 r LEFT JOIN lab l ON l.label = r.lab
   LEFT JOIN attribute_ref a ON a.accession = {_CURIE.format('r.acc')}
-  LEFT JOIN attribute_ref b ON coalesce(r.acc, '') = '' AND regexp_replace(b.attribute_name, '[^a-z0-9]+', '', 'g') = {_NAME.format('r.name')})
-SELECT table_name, row_id, recorded_unit FROM rows3 r JOIN unit_ref u ON u.unit_curie = r.recorded_unit JOIN unit_ref c ON c.unit_curie = r.common_unit
-WHERE u.quantity_kind = c.quantity_kind AND r.recorded_unit <> r.common_unit"""
+  LEFT JOIN attribute_ref b ON coalesce(r.acc, '') = '' AND regexp_replace(b.attribute_name, '[^a-z0-9]+', '', 'g') = {_NAME.format('r.name')}),
+told AS (
+  SELECT r.*, (number * u.to_base_factor + u.to_base_shift - c.to_base_shift) / c.to_base_factor AS common_value FROM rows3 r
+  JOIN unit_ref u ON u.unit_curie = r.recorded_unit JOIN unit_ref c ON c.unit_curie = r.common_unit WHERE u.quantity_kind = c.quantity_kind)
+"""
 
 _P2_BASE = """
 WITH s AS (SELECT spectrum_key AS k, any_value(run_id) AS run_id, any_value(spectrum_index) AS i, any_value(data_procesing_ref) AS dp, min(loaded_at) AS loaded, max(deleted_at) AS gone FROM spectrum GROUP BY 1),
@@ -236,7 +248,8 @@ rows0 AS (
 """
 
 ORACLES: dict[str, str] = {
-    "p1_found": _P1,
+    "p1_found": _P1_BASE + "SELECT DISTINCT table_name, row_id, recorded_unit FROM told WHERE recorded_unit <> common_unit",
+    "p1_common_values": _P1_BASE + "SELECT attribute, common_unit, recorded_unit, count(*) AS n_values, round(min(common_value), 4) AS lowest, round(max(common_value), 4) AS highest FROM told GROUP BY ALL",
     "p2_found": _P2_BASE + "SELECT table_name, field_name, row_id FROM o WHERE reason IS NOT NULL",
     "p2_counts": _P2_BASE + "SELECT table_name, field_name, CAST(loaded AS DATE) AS period, reason, count(*) AS n_orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
     "p3_certified": _P3_BASE + "SELECT field_name, ms_level, day, quantile, n, true AS within FROM (SELECT field_name, ms_level, day, count(*) AS n FROM w GROUP BY ALL) CROSS JOIN q",

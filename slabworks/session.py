@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,21 +15,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; pick a local one only where none is named (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="slabworks-ckpt-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder. Only a local master may do with a folder of this machine, gone at exit."""
+    sc = spark.sparkContext
+    jsc = sc._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="slabworks-ckpt-"))
+        _forget_at_exit(spark, jsc.getCheckpointDir().get())
+    return jsc.getCheckpointDir().get()
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def forget() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone
+            pass
+
+    atexit.register(forget)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor costs a re-read and not a re-run."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Cut the lineage with a reliable checkpoint, so a lost executor costs a re-read and not a re-run. For small frames."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table written in the shared folder: compact, read by column, gone when the driver ends."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _forget_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, most_rows: int = 200_000, most_chars: int = 32_000_000) -> DataFrame:
     """A lookup side, written once and measured: marked for broadcast within these bounds, else left to a shuffled join."""
     df = materialise(df)
@@ -46,5 +73,6 @@ def local_session(cores: int | str = "*", app: str = "slabworks") -> SparkSessio
         .config("spark.sql.shuffle.partitions", os.environ.get("SLABWORKS_PARTITIONS", "8"))
         .config("spark.driver.memory", os.environ.get("SLABWORKS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

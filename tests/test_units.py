@@ -48,6 +48,37 @@ def test_unknown_labels_are_told_by_their_scale(spark):
     assert labels["Sec"] == "UO:0000010" and labels["mSec"] == "UO:0000028" and "parsec blorb" not in labels
 
 
+def test_an_affine_unit_told_by_its_values_alone(spark):
+    rows = [("LX:0000021", "tube temperature", num(20 + i), "UO:0000027") for i in range(200)] + [("LX:0000021", "tube temperature", num(20.3 + i + 273.15), "grd") for i in range(200)]
+    rows += [("LX:0000021", "tube temperature", num(20 + i), "rrr") for i in range(20)] + [("LX:0000021", "tube temperature", num(-4000 + i), "Kelv") for i in range(200)]
+    sp, mp, attrs, units = frames(spark, rows)
+    stats = U.source_statistics(U.observations(sp, U.spellings([sp], attrs), "param_id", True))
+    labels = U.resolve_labels(stats, units)
+    report = {r.label: (r.unit, r.told_by, r.n_values) for r in U.label_report(stats, labels).collect()}
+    # told by the values; too few values; letters that the values contradict
+    assert report["grd"] == ("UO:0000012", "values", 200) and report["rrr"] == (None, "unresolved", 20) and report["Kelv"] == (None, "unresolved", 200) and report["UO:0000027"][1] == "name"
+
+
+def test_scale_and_offset_from_entities_that_both_recorded(spark):
+    """Two sources of different populations: only what both recorded of the same entities tells the unit."""
+    rows = [("LX:0000021", "tube temperature", num(200 + i), "UO:0000027", i) for i in range(3000)] + [("LX:0000021", "tube temperature", num(20.0 + i / 10), "UO:0000027", 9000 + i) for i in range(300)]
+    rows += [("LX:0000021", "tube temperature", num(20.0 + i / 10 + 273.15), "grd", 9000 + i) for i in range(300)]
+    df = spark.createDataFrame([(i, "r", a, n, v, u, at, "x") for i, (a, n, v, u, at) in enumerate(rows)], SP)
+    _, _, attrs, units = frames(spark, [])
+    obs = U.observations(df, U.spellings([df], attrs), "param_id", True)
+    links = U.source_links(obs)
+    assert {(r.label, r.other, r.n) for r in links.collect()} == {("grd", "UO:0000027", 300), ("UO:0000027", "grd", 300)}
+    told = lambda labels: {r.label: r.unit for r in labels.collect()}.get("grd")
+    assert told(U.resolve_labels(U.source_statistics(obs), units, links)) == "UO:0000012"
+    assert told(U.resolve_labels(U.source_statistics(obs), units)) is None
+
+
+def test_labels_are_not_shuffled(spark):
+    rows = [("MS:1000016", "scan start time", num(i), "s") for i in range(50)]
+    plan = U.recorded_in_other_units(U.normalise_units(*frames(spark, rows)))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(label" not in plan and "hashpartitioning(common_unit" not in plan
+
+
 def test_empty(spark):
     assert U.normalise_units(*frames(spark, [])).count() == 0
 

@@ -16,8 +16,9 @@ def entity_summary(points: DataFrame) -> DataFrame:
 
 
 def trace(meta: DataFrame, measure: str) -> DataFrame:
-    """A chromatogram of a stored per-spectrum measure; rows where time or measure is null are left out."""
-    return meta.where(F.col("time").isNotNull() & F.col(measure).isNotNull()).select("index", "time", F.col(measure).alias("intensity"))
+    """A chromatogram of a stored per-spectrum measure; rows where time or measure is null or not a number are left out."""
+    told = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return meta.where(told("time") & told(measure)).select("index", "time", F.col(measure).alias("intensity"))
 
 
 def error_statistics(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

@@ -210,7 +210,7 @@ def _run_trace(measure: str) -> Query:
 
 for _name, _measure in (("tic", "total_ion_current"), ("bpc", "base_peak_intensity")):
     QUERIES[_name] = _run_trace(_measure)
-    ORACLES[_name] = f"SELECT DISTINCT run_id || '#' || spectrum_index AS index, scan_time AS time, {_measure} AS intensity FROM spectrum WHERE scan_time IS NOT NULL AND {_measure} IS NOT NULL"
+    ORACLES[_name] = f"SELECT DISTINCT run_id || '#' || spectrum_index AS index, scan_time AS time, {_measure} AS intensity FROM spectrum WHERE CAST(scan_time AS VARCHAR) <> 'nan' AND CAST({_measure} AS VARCHAR) <> 'nan'"
 
 
 @query(f"WITH {META}, {POINTS} SELECT p.index, m.time, sum(p.intensity) AS intensity, count(*) AS n_points FROM points p JOIN meta m ON p.index = m.index WHERE m.time BETWEEN 600 AND 1200 AND p.mz BETWEEN 20000 AND 40000 GROUP BY ALL")
@@ -260,16 +260,12 @@ def filled_counts(spark, d):
     return s.agg(*[F.count(c).alias(c) for c in ("total_ion_current", "ms_level", "deleted_at", "parameters")])
 
 
-@query("SELECT ion_id, selected_ion_mz FROM selected_ion WHERE charge_state IS NULL")
+@query("SELECT * REPLACE (CAST(len(parameters) AS INTEGER) AS parameters, CASE WHEN CAST(intensity AS VARCHAR) <> 'nan' THEN intensity END AS intensity) FROM selected_ion")
 def drop_all_null_columns(spark, d):
-    rows = table(spark, d, "selected_ion").where("charge_state is null").select("ion_id", "selected_ion_mz", "charge_state")
-    return summaries.drop_all_null(rows)
-
-
-@query()
-def drop_all_null_columns_whole(spark, d):
-    """All rows and columns, and a column of nulls; drop_all_null_columns has the rows and columns of its SQL."""
-    return summaries.drop_all_null(table(spark, d, "selected_ion").withColumn("nothing", F.lit(None).cast("double")))
+    """The whole table with a column of nulls, which goes; parameters are shown by their number, not-a-number as null."""
+    kept = summaries.drop_all_null(table(spark, d, "selected_ion").withColumn("nothing", F.lit(None).cast("double")))
+    size = F.when(F.col("parameters").isNotNull(), F.size("parameters"))
+    return kept.withColumns({"parameters": size, "intensity": F.when(~F.isnan("intensity"), F.col("intensity"))})
 
 
 # --- kernels -----------------------------------------------------------------------------------------
@@ -590,16 +586,15 @@ def column_to_param(spark, d):
     return table(spark, d, "selected_ion").select("ion_id", F.size(F.coalesce(after, F.array().cast(table(spark, d, "selected_ion").schema["parameters"].dataType))).alias("n_after"), added.alias("added")).distinct()
 
 
-@query("SELECT param_id, coalesce(CAST(value.integer AS VARCHAR), value.string, CAST(value.boolean AS VARCHAR)) AS text FROM spectrum_parameter WHERE value.float IS NULL")
+@query("""SELECT param_id, CASE WHEN value.integer IS NOT NULL OR value.float IS NULL THEN coalesce(CAST(value.integer AS VARCHAR), value.string, CAST(value.boolean AS VARCHAR)) END AS text,
+CASE WHEN value.integer IS NULL AND CAST(value.float AS VARCHAR) <> 'nan' THEN value.float END AS number FROM spectrum_parameter""")
 def param_value_text(spark, d):
-    """Rows without a float only, as in the SQL, which writes floats otherwise; param_value_text_whole has every row."""
-    return table(spark, d, "spectrum_parameter").where("value.float is null").select("param_id", params.value_text(F.col("value")).alias("text"))
-
-
-@query()
-def param_value_text_whole(spark, d):
-    """Every parameter's value as text; engines write floats differently, so there is no SQL."""
-    return table(spark, d, "spectrum_parameter").select("param_id", params.value_text(F.col("value")).alias("text"))
+    """Every parameter's value as text. Engines write floats differently, so the text of a float is read again as a number; not-a-number is shown as null."""
+    v = F.col("value")
+    is_float = v["integer"].isNull() & v["float"].isNotNull()
+    told = table(spark, d, "spectrum_parameter").select("param_id", params.value_text(v).alias("text"), is_float.alias("is_float"))
+    number = F.col("text").try_cast("double")
+    return told.select("param_id", F.when(~F.coalesce("is_float", F.lit(False)), F.col("text")).alias("text"), F.when(F.col("is_float") & ~F.isnan(number), number).alias("number"))
 
 
 @query("SELECT attribute_name, replace(accession, ':', '_') || '_' || regexp_replace(replace(attribute_name, 'm/z', 'mz'), '[^a-zA-Z0-9]', '_', 'g') || coalesce('_unit_' || replace(common_unit, ':', '_'), '') AS column_name FROM attribute_ref")
@@ -620,18 +615,17 @@ def curie_format(spark, d):
     return table(spark, d, "orders").select("o_orderkey", cv.curie(F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(2), F.col("o_custkey")).alias("curie"))
 
 
-@query("""SELECT raw_json ->> 'name' AS name, CASE WHEN lower(trim(raw_json ->> 'data_kind')) IN ('data arrays', 'peaks', 'metadata', 'proprietary') THEN lower(trim(raw_json ->> 'data_kind')) ELSE 'other' END AS data_kind,
-CASE WHEN lower(trim(raw_json ->> 'entity_type')) IN ('spectrum', 'chromatogram') THEN lower(trim(raw_json ->> 'entity_type')) ELSE 'other' END AS entity_type FROM (SELECT DISTINCT file_id, line_no, raw_json FROM archive_line WHERE record_kind = 'file_entry' AND json_valid(raw_json))""")
-def member_kinds(spark, d):
-    lines = table(spark, d, "archive_line").where("record_kind = 'file_entry'").select("file_id", "line_no", "raw_json").distinct()
-    v = lines.select(F.try_parse_json("raw_json").alias("v")).where("v is not null")
-    text = lambda k: F.coalesce(F.try_variant_get("v", f"$.{k}", "string"))
-    return v.select(text("name").alias("name"), cv.data_kind(text("data_kind")).alias("data_kind"), cv.entity_type(text("entity_type")).alias("entity_type"))
+_ENTRY_FORMS = ", ".join(f"('{form}', '{field}')" for form, field in drift.approved_keys("file_entry").items() if field in ("name", "data_kind", "entity_type"))
 
 
-@query()
-def member_kinds_resolved(spark, d):
-    """The kinds of all file entries, whatever approved spelling their keys have; member_kinds reads the exact keys, as its SQL."""
+@query(f"""WITH f(form, field) AS (VALUES {_ENTRY_FORMS}),
+l AS (SELECT DISTINCT file_id, line_no, raw_json FROM archive_line WHERE record_kind = 'file_entry' AND json_valid(raw_json) AND json_type(raw_json) = 'OBJECT'),
+k AS (SELECT file_id, line_no, raw_json, unnest(json_keys(raw_json)) AS key FROM l),
+v AS (SELECT file_id, line_no, f.field, min(raw_json ->> ('$."' || key || '"')) AS v FROM k JOIN f ON f.form = lower(regexp_replace(regexp_replace(regexp_replace(key, '^[A-Z]+_[0-9]+_', ''), '_unit(_[A-Z]+_[0-9]+)?$', ''), '[^A-Za-z0-9]+', '', 'g')) GROUP BY ALL),
+w AS (SELECT l.file_id, l.line_no, max(v) FILTER (WHERE field = 'name') AS name, lower(trim(max(v) FILTER (WHERE field = 'data_kind'))) AS data_kind, lower(trim(max(v) FILTER (WHERE field = 'entity_type'))) AS entity_type FROM l LEFT JOIN v USING (file_id, line_no) GROUP BY ALL)
+SELECT name, CASE WHEN data_kind IN ('data arrays', 'peaks', 'metadata', 'proprietary') THEN data_kind ELSE 'other' END AS data_kind, CASE WHEN entity_type IN ('spectrum', 'chromatogram') THEN entity_type ELSE 'other' END AS entity_type FROM w""")
+def member_kinds(spark, d):
+    """The kinds of all file entries, whatever approved spelling their keys have."""
     entries = drift.ingest(table(spark, d, "archive_line"), "file_entry")
     return entries.select("name", cv.data_kind(F.col("data_kind")).alias("data_kind"), cv.entity_type(F.col("entity_type")).alias("entity_type"))
 
@@ -678,11 +672,12 @@ def mgf_export(spark, d):
     return mgf_text(points(spark, d), m, ions)
 
 
-@query("SELECT spectrum_key, scan_time AS scan_start_time, total_ion_current FROM spectrum")
+@query("SELECT spectrum_key, scan_time AS scan_start_time, CASE WHEN CAST(total_ion_current AS VARCHAR) <> 'nan' THEN total_ion_current END AS total_ion_current FROM spectrum")
 def rename_by_vocabulary(spark, d):
-    """Inflected column names, nested ones too, as plain names."""
+    """Inflected column names, nested ones too, as plain names; not-a-number is shown as null, as nothing was measured."""
     s = table(spark, d, "spectrum").select("spectrum_key", F.col("scan_time").alias("MS_1000016_scan_start_time_unit_UO_0000031"), F.struct(F.col("total_ion_current").alias("MS_1000285_total_ion_current_unit_MS_1000131")).alias("measures"))
-    return cv.rename_by_vocabulary(s).select("spectrum_key", "scan_start_time", "measures.total_ion_current")
+    named = cv.rename_by_vocabulary(s).select("spectrum_key", "scan_start_time", "measures.total_ion_current")
+    return named.withColumn("total_ion_current", F.when(~F.isnan("total_ion_current"), F.col("total_ion_current")))
 
 
 @query(MARKED + " SELECT index, pos, coalesce(x, 0) AS x FROM marked")

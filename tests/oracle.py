@@ -23,8 +23,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v):
+    """Floats to twelve digits; not-a-number equals nothing, as for the driver, so a query has to say what it gives for it."""
     if isinstance(v, float):
-        return "nan" if v != v else float(f"{v:.12g}")
+        return float("nan") if v != v else float(f"{v:.12g}")
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if isinstance(v, dict):

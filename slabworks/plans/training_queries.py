@@ -36,16 +36,16 @@ def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     return units.label_report(stats, units.resolve_labels(stats, table(spark, d, "unit_ref"), units.source_links(obs)))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.run_orphans(table(spark, d, "spectrum"), table(spark, d, "selected_ion"), table(spark, d, "data_processing"))
+def _referring(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("spectrum", "selected_ion", "data_processing")]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("table_name", "field_name", "row_id")
+    return orphans.run_orphans(*_referring(spark, d)).select("table_name", "field_name", "row_id")
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_counts(_orphans(spark, d))
+    return orphans.run_orphan_counts(*_referring(spark, d))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabworks.session import materialise
+from slabworks.session import materialise, written
 
 #: Clusters of a digest; its rank error is about pi * sqrt(q(1-q)) / DELTA.
 DELTA = 400
 PERCENTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-#: Digests of one group meet in two steps: FAN partial digests of a group at most go into the last one.
+#: About so many digests of a group meet in one step; there are as many steps as that takes.
 FAN = 32
 _BUFFER, _GROUPS = 65536, 512
 DIGEST_DDL = "means array<double>, weights array<double>, low double, high double"
@@ -55,17 +55,18 @@ def build(values: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
     """Digests of each partition's values: keys, part, means, weights, low, high; value is the column digested.
 
     A partition keeps one buffer per group and gives its digests away when it holds many groups, so its
-    memory has a bound whatever the number of groups.
+    memory has a bound whatever the number of groups. part is a number of a digest's own, by which those of
+    a group are spread when they meet.
     """
     plain = values.select(*keys, F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value) and abs(value) <> double('infinity')")
     names = [*keys, "part", "means", "weights", "low", "high"]
     fields = plain.schema
-    schema = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keys) + ", part int, " + DIGEST_DDL
+    schema = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keys) + ", part bigint, " + DIGEST_DDL
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % FAN
+        part = TaskContext.get().partitionId() << 24
         raw: dict[tuple, list[np.ndarray]] = {}
         size: dict[tuple, int] = {}
         done: dict[tuple, list] = {}
@@ -77,8 +78,10 @@ def build(values: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
             size[g] = 0
 
         def flush() -> pd.DataFrame:
+            nonlocal part
             for g in list(raw):
                 squeeze(g)
+            part += 1
             rows = [(*g, part, m.tolist(), w.tolist(), float(lo), float(hi)) for g, (m, w, lo, hi) in done.items()]
             done.clear()
             size.clear()
@@ -99,16 +102,20 @@ def build(values: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
     return plain.mapInPandas(digest, schema)
 
 
-def merge(digests: DataFrame, keys: list[str], delta: int = DELTA, by_part: bool = True) -> DataFrame:
-    """One digest per group of keys: first within parts, then over the parts, by clustering again.
+def merge(digests: DataFrame, keys: list[str], delta: int = DELTA, fan: int = FAN) -> DataFrame:
+    """One digest per group of keys, by clustering again, in as many steps as the largest group needs.
 
-    No task meets more than a FANth of a hot group's digests, or FAN digests of it.
+    In each step about `fan` digests of a group meet, chosen by the hash of their ``part``, so a hot group's
+    digests are merged by many tasks and no task's work grows with their number. Digests without ``part``
+    are of finer groups, whose other keys take its place.
     """
     kinds = {f.name: f.dataType.simpleString() for f in digests.schema}
+    own = [c for c in digests.columns if c not in [*keys, "means", "weights", "low", "high"]]
+    digests = written(digests.withColumn("part", F.xxhash64(*own)).select(*keys, "part", "means", "weights", "low", "high"))
 
     def once(df: DataFrame, by: list[str]) -> DataFrame:
         names = [*by, "means", "weights", "low", "high"]
-        schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", " + DIGEST_DDL
+        schema = ", ".join(f"{k} {kinds.get(k, 'bigint')}" for k in by) + ", " + DIGEST_DDL
 
         def join(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             m, w = cluster(np.concatenate(pdf["means"].to_list()), np.concatenate(pdf["weights"].to_list()), delta)
@@ -118,26 +125,29 @@ def merge(digests: DataFrame, keys: list[str], delta: int = DELTA, by_part: bool
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.select(*names).repartition(parts, *by).groupBy(*by).applyInPandas(join, schema)
 
-    stepped = once(digests, [*keys, "part"]) if by_part and "part" in digests.columns else digests
-    return once(stepped, keys)
+    most = digests.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while most > fan:
+        most = -(-most // fan)
+        digests = once(digests.withColumn("part", F.pmod("part", F.lit(most))), [*keys, "part"]).withColumn("part", F.xxhash64("part"))
+    return once(digests, keys)
 
 
 def answers(digests: DataFrame, keys: list[str], qs: list[float] = PERCENTS) -> DataFrame:
-    """keys, n and ``at``: the digests' values at the quantiles, in their order."""
+    """keys, n, low, high and ``at``: the digests' extremes, which are exact, and values at the quantiles, in their order."""
     kinds = {f.name: f.dataType.simpleString() for f in digests.schema}
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = pdf[keys].copy()
+            got = pdf[[*keys, "low", "high"]].copy()
             got["n"] = [int(round(sum(w))) for w in pdf["weights"]]
             got["at"] = [quantiles(np.array(m), np.array(w), lo, hi, qs).tolist() for m, w, lo, hi in zip(pdf["means"], pdf["weights"], pdf["low"], pdf["high"])]
             yield got
 
-    return digests.mapInPandas(ask, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, at array<double>")
+    return digests.mapInPandas(ask, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", low double, high double, n bigint, at array<double>")
 
 
 def certify(values: DataFrame, told: DataFrame, keys: list[str], qs: list[float] = PERCENTS, broadcast_rows: int = 50_000) -> DataFrame:
-    """keys, quantile, value, n, rank_low, rank_high, rank_error of every answer, by counting.
+    """keys, quantile, value, n, low, high, rank_low, rank_high, rank_error of every answer, by counting.
 
     rank_low and rank_high: the shares of values below, and not above, the answer. rank_error: how far
     the quantile lies outside of them, 0 if between.
@@ -147,14 +157,14 @@ def certify(values: DataFrame, told: DataFrame, keys: list[str], qs: list[float]
     on = [F.col(f"v.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     side = F.broadcast(told.alias("t")) if few else told.alias("t")
     plain = values.where("value is not null and not isnan(value) and abs(value) <> double('infinity')").select(*keys, F.col("value").cast("double").alias("value"))
-    both = plain.alias("v").join(side, on).select(*[f"v.{k}" for k in keys], "v.value", "t.at")
+    both = plain.alias("v").join(side, on).select(*[f"v.{k}" for k in keys], "v.value", "t.at", "t.low", "t.high")
     counts = both.groupBy(*keys).agg(
-        F.first("at").alias("at"), F.count("*").alias("n"),
+        F.first("at").alias("at"), F.first("low").alias("low"), F.first("high").alias("high"), F.count("*").alias("n"),
         F.array(*[F.count_if(F.col("value") < F.col("at")[i]) for i in range(len(qs))]).alias("below"),
         F.array(*[F.count_if(F.col("value") <= F.col("at")[i]) for i in range(len(qs))]).alias("upto"),
     )
     each = F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("quantile"), F.col("at").alias("value"), F.col("below").alias("below"), F.col("upto").alias("upto")))
-    rows = counts.select(*keys, "n", each.alias("e")).select(*keys, F.col("e.quantile").alias("quantile"), F.col("e.value").alias("value"), "n", (F.col("e.below") / F.col("n")).alias("rank_low"), (F.col("e.upto") / F.col("n")).alias("rank_high"))
+    rows = counts.select(*keys, "n", "low", "high", each.alias("e")).select(*keys, F.col("e.quantile").alias("quantile"), F.col("e.value").alias("value"), "n", "low", "high", (F.col("e.below") / F.col("n")).alias("rank_low"), (F.col("e.upto") / F.col("n")).alias("rank_high"))
     return rows.withColumn("rank_error", F.greatest(F.lit(0.0), F.col("rank_low") - F.col("quantile"), F.col("quantile") - F.col("rank_high")))
 
 
@@ -165,20 +175,23 @@ def stated_error(n: str = "n", quantile: str = "quantile", delta: int = DELTA):
 
 
 def run_values(spectrum: DataFrame, selected_ion: DataFrame) -> DataFrame:
-    """(field_name, ms_level, day, value) of ion intensities and total ion currents, of each record once.
+    """(field_name, ms_level, day, value) of ion intensities and total ion currents, of each record once, written once.
 
-    An ion has the MS level of the spectrum it names, null if there is none. A record's row is its latest;
-    a null loaded_at is the earliest, and the day is null where all of a record's are.
+    An ion has the MS level of the spectrum it names, null if there is none; ions that name none meet no
+    spectra, so they can't gather in one task. A record's row is its latest; a null loaded_at is the earliest,
+    and the day is null where all of a record's are. Digests and counts both read what is written here.
     """
     spectra = spectrum.groupBy("spectrum_key").agg(
         F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "ms_level", "total_ion_current"), F.struct("loaded_at")).alias("s")
     )
     tic = spectra.select(F.lit("total_ion_current").alias("field_name"), F.col("s.ms_level").cast("int").alias("ms_level"), F.to_date("loaded_at").alias("day"), F.col("s.total_ion_current").cast("double").alias("value"))
-    ions = selected_ion.groupBy("ion_id").agg(F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "intensity"), F.struct("loaded_at")).alias("i"))
-    levels = spectrum.groupBy("run_id", "spectrum_index").agg(F.max("ms_level").cast("int").alias("ms_level"))
-    ion_rows = ions.select("loaded_at", "i.*").join(levels, ["run_id", "spectrum_index"], "left")
-    intensity = ion_rows.select(F.lit("intensity").alias("field_name"), "ms_level", F.to_date("loaded_at").alias("day"), F.col("intensity").cast("double").alias("value"))
-    return tic.unionByName(intensity)
+    ions = selected_ion.groupBy("ion_id").agg(F.min("loaded_at").alias("loaded_at"), F.max_by(F.struct("run_id", "spectrum_index", "intensity"), F.struct("loaded_at")).alias("i")).select("loaded_at", "i.*")
+    levels = spectrum.where("run_id is not null and spectrum_index is not null").groupBy("run_id", "spectrum_index").agg(F.max("ms_level").cast("int").alias("ms_level"))
+    names_one = F.col("run_id").isNotNull() & F.col("spectrum_index").isNotNull()
+    with_level = ions.where(names_one).join(levels, ["run_id", "spectrum_index"], "left").select("loaded_at", "intensity", "ms_level")
+    without = ions.where(~names_one).select("loaded_at", "intensity", F.lit(None).cast("int").alias("ms_level"))
+    intensity = with_level.unionByName(without).select(F.lit("intensity").alias("field_name"), "ms_level", F.to_date("loaded_at").alias("day"), F.col("intensity").cast("double").alias("value"))
+    return written(tic.unionByName(intensity).where("value is not null and not isnan(value) and abs(value) <> double('infinity')"))
 
 
 DAY_KEYS, WHOLE_KEYS = ["field_name", "ms_level", "day"], ["field_name", "ms_level"]
@@ -191,5 +204,5 @@ def daily_digests(values: DataFrame) -> DataFrame:
 def percentiles(values: DataFrame, digests: DataFrame, keys: list[str]) -> DataFrame:
     """Certified percentiles per keys from digests of those or finer groups."""
     own = [c for c in digests.columns if c in DAY_KEYS]
-    merged = digests if own == keys else merge(digests.withColumn("part", F.pmod(F.hash(*own), F.lit(FAN))), keys)
+    merged = digests if own == keys else merge(digests, keys)
     return certify(values, answers(merged, keys), keys)

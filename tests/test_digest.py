@@ -46,3 +46,14 @@ def test_empty(spark):
 def test_many_groups_are_flushed(spark):
     v = spark.createDataFrame([(f"f{i}", 1, None, float(i)) for i in range(1500)], SCHEMA)
     assert G.merge(G.build(v, G.WHOLE_KEYS), G.WHOLE_KEYS).count() == 1500
+
+
+def test_hot_groups_are_merged_in_steps(spark):
+    r = np.random.default_rng(2)
+    v = spark.createDataFrame([("f", 1, None, float(x)) for x in r.normal(size=4000)] + [("g", 1, None, 3.0)], SCHEMA).repartition(16)
+    d = G.build(v, G.WHOLE_KEYS)
+    assert d.where("field_name = 'f'").count() == 16
+    one = {x.field_name: x for x in G.merge(d, G.WHOLE_KEYS, fan=2).collect()}
+    assert sum(one["f"].weights) == 4000 and len(one["f"].means) <= G.DELTA + 1 and one["g"].means == [3.0]
+    told = G.percentiles(v, d.select(*G.WHOLE_KEYS, "means", "weights", "low", "high").limit(0), G.WHOLE_KEYS)
+    assert told.count() == 0

@@ -61,20 +61,36 @@ def unit_in_text(c: Column) -> Column:
     return F.when(c.rlike(rf"^{BLANK}*[+-]?[.,]?\d.*[^\d.]"), filled(F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 2)))
 
 
+def _number_text(c: Column) -> Column:
+    """The digits of the number a text holds, with a decimal point at most; null or empty if it holds none."""
+    t = F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 1)
+    plain = F.translate(F.regexp_replace(t, r",(?=.*[.,])|(?<=,.{1,40}),|\.(?=.*[.,])|(?<=\..{1,40})\.", ""), ",", ".")
+    one_sign = F.when(t.rlike(r"^[^.,]*\.?[^.,]*$"), t).otherwise(plain)  # most have no sign to be told
+    # a bare number needs none of this; other texts are tried only if they begin like one
+    return F.when(c.rlike(r"^[+-]?\d{1,17}(\.\d{1,17})?$"), c).when(c.rlike(rf"^{BLANK}*[+-]?[.,]?\d"), one_sign)
+
+
 def number_in_text(c: Column) -> Column:
     """The number a text holds, with or without a unit behind it; null if it holds none.
 
     With both signs the later one is the decimal sign; one comma alone is a decimal comma; a sign that
     occurs several times separates thousands.
     """
-    t = F.regexp_extract(squeeze(c), _NUMBER_AND_TAIL, 1)
-    plain = F.regexp_replace(t, r",(?=.*[.,])|(?<=,.{1,40}),|\.(?=.*[.,])|(?<=\..{1,40})\.", "")
-    value = F.coalesce(t.try_cast("double"), F.translate(plain, ",", ".").try_cast("double"))  # most have no sign to be told
-    # a bare number needs neither pattern; others are tried only if they begin like one
-    value = F.when(c.rlike(r"^[+-]?\d{1,17}(\.\d{1,17})?$"), c.cast("double")).when(c.rlike(rf"^{BLANK}*[+-]?[.,]?\d"), value)
+    value = _number_text(c).try_cast("double")
     return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))  # too long for a double: no number
 
 
+def whole_of(value: Column) -> Column:
+    """The number in any slot of a parameter value as an exact bigint; a fraction is rounded, halves away from zero.
+
+    Whole numbers never go through a double. Null if the number is beyond a bigint.
+    """
+    f, t = value["float"], _number_text(value["string"])
+    fine = F.when(~F.isnan(f) & (F.abs(f) != float("inf")), f)
+    text = F.coalesce(t.try_cast("bigint"), F.round(t.try_cast("decimal(38,9)"), 0).try_cast("bigint"), F.round(t.try_cast("double")).try_cast("bigint"))
+    return F.when(value["integer"].isNotNull(), value["integer"]).when(fine.isNotNull(), F.round(fine).try_cast("bigint")).otherwise(text)
+
+
 def is_placeholder(c: Column) -> Column:
     return F.lower(squeeze(c)).isin(PLACEHOLDERS)
 

@@ -7,7 +7,8 @@ aligned to those ordinals by scatter, and the columns are assembled by position,
 join per attribute.
 
 Defined results: a cell is filled if a row has a usable value; of several the one with the lowest
-param_id holds; placeholders, blanks and not-a-number are not usable; rows that belong to no attribute
+param_id holds; an int attribute takes whole numbers exactly, rounds a fraction (halves away from zero)
+and takes none beyond a bigint; placeholders, blanks and not-a-number are not usable; rows that belong to no attribute
 are left out; an entity without any filled cell has no row; null run or index form no entity.
 """
 
@@ -37,13 +38,13 @@ def attribute_columns(attributes: DataFrame, owner_kind: str = "spectrum", most:
 
 
 def cells(params: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
-    """One row per filled cell: (run_id, spectrum_index, slot, num, flag, text); slot is the column's place."""
+    """One row per filled cell: (run_id, spectrum_index, slot, num, whole, flag, text); slot is the column's place."""
     spark = params.sparkSession
     by_accession = {accession_key(a): i for i, (a, _, _) in enumerate(columns)}
     by_name = {"".join(ch for ch in name if ch.isalnum()): i for i, (_, name, _) in enumerate(columns)}
     look = lambda table, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
     if not columns:
-        return spark.createDataFrame([], "run_id string, spectrum_index bigint, slot int, num double, flag boolean, text string")
+        return spark.createDataFrame([], "run_id string, spectrum_index bigint, slot int, num double, whole bigint, flag boolean, text string")
     blank = P.filled(F.col("accession")).isNull()
     slot = F.when(blank, look(by_name, P.name_key(F.col("name")))).otherwise(look(by_accession, P.canonical_curie(F.col("accession"))))
     # each way to write accession and name is read once, not on every row
@@ -54,10 +55,11 @@ def cells(params: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
     value = F.col("value")
     typed = rows.select(
         "run_id", "spectrum_index", "slot", "param_id",
-        F.when(of_type("double", "int"), P.number_of(value)).alias("num"), F.when(of_type("boolean"), P.boolean_of(value)).alias("flag"), F.when(of_type("string"), P.text_of(value)).alias("text"),
-    ).where("num is not null or flag is not null or text is not null")
-    best = F.min(F.struct("param_id", "num", "flag", "text")).alias("c")
-    return typed.groupBy("run_id", "spectrum_index", "slot").agg(best).select("run_id", "spectrum_index", "slot", "c.num", "c.flag", "c.text")
+        F.when(of_type("double"), P.number_of(value)).alias("num"), F.when(of_type("int"), P.whole_of(value)).alias("whole"),
+        F.when(of_type("boolean"), P.boolean_of(value)).alias("flag"), F.when(of_type("string"), P.text_of(value)).alias("text"),
+    ).where("num is not null or whole is not null or flag is not null or text is not null")
+    best = F.min(F.struct("param_id", "num", "whole", "flag", "text")).alias("c")
+    return typed.groupBy("run_id", "spectrum_index", "slot").agg(best).select("run_id", "spectrum_index", "slot", "c.num", "c.whole", "c.flag", "c.text")
 
 
 def accession_key(accession: str) -> str:
@@ -92,13 +94,8 @@ def stitch(cell_rows: DataFrame, columns: list[tuple[str, str, str]]) -> DataFra
                 where = np.full(n, -1, dtype=np.int64)
                 where[at[mine]] = mine
                 pick = pa.array(where, mask=where < 0)
-                source = t.column({"double": "num", "int": "num", "boolean": "flag", "string": "text"}[kind])
-                col = source.combine_chunks().take(pick)
-                if kind == "int":
-                    import pyarrow.compute as pc
-
-                    col = pc.round(col).cast(pa.int64(), safe=False)
-                out.append(col.cast(ARROW[kind]))
+                source = t.column({"double": "num", "int": "whole", "boolean": "flag", "string": "text"}[kind])
+                out.append(source.combine_chunks().take(pick).cast(ARROW[kind]))
             return pa.RecordBatch.from_arrays(out, names=names), n
 
         for batch in batches:
@@ -138,4 +135,4 @@ def filled_cells(wide: DataFrame, columns: list[tuple[str, str, str]]) -> DataFr
 
 
 def empty_wide(spark: SparkSession, columns: list[tuple[str, str, str]]) -> DataFrame:
-    return stitch(spark.createDataFrame([], "run_id string, spectrum_index bigint, slot int, num double, flag boolean, text string"), columns)
+    return stitch(spark.createDataFrame([], "run_id string, spectrum_index bigint, slot int, num double, whole bigint, flag boolean, text string"), columns)

@@ -37,3 +37,12 @@ def test_empty(spark):
     attrs = spark.createDataFrame(A, "accession string, attribute_name string, value_type string, common_unit string, owner_kind string")
     assert W.wide_table(spark.createDataFrame([], P), attrs).count() == 0
     assert W.wide_table(spark.createDataFrame([], P), attrs.limit(0)).count() == 0
+
+
+def test_whole_numbers_are_exact(spark):
+    attrs = spark.createDataFrame(A, "accession string, attribute_name string, value_type string, common_unit string, owner_kind string")
+    v = lambda i=None, f=None, s=None: (i, f, s, None)
+    values = [v(i=9007199254740993), v(s="9,007,199,254,740,993"), v(f=4.6), v(s="4.5 ms"), v(f=-4.5), v(s="99999999999999999999"), v(f=1e30), v(s="1e3"), v(s="9223372036854775807")]
+    rows = [(i, "r", i, "MS:0000002", "scan count", x, None, "") for i, x in enumerate(values)]
+    got = {r.spectrum_index: r.scan_count for r in W.wide_table(spark.createDataFrame(rows, P), attrs).collect()}
+    assert got == {0: 9007199254740993, 1: 9007199254740993, 2: 5, 3: 5, 4: -5, 7: 1000, 8: 9223372036854775807}

@@ -2,13 +2,15 @@
 
 Ingestion with a rescue column: each record is parsed once, the fields of the target schema are cast,
 whatever is unknown or can't be cast is kept as JSON in ``_rescued``, and keys that were approved as
-another spelling of a target field are replayed from there into its typed column. Which keys and JSON
-types each file held is aggregated on the way; two consecutive files of a feed are compared on those
-aggregates to report each change.
-
-Defined results: lines that are no JSON object (damaged, null, empty) add nothing; repeated deliveries
-of a line count once; a field whose values are all null is present and has no type; a feed's first file
-and a file whose predecessor wasn't delivered have no changes. Empty tables give empty tables.
+another spelling of a target field are replayed from there into its typed column. The same pass tells of
+every key which field it went to and which JSON type it had (``_seen``); the report of changes aggregates
+that per file and compares two consecutive files of a feed.
+
+Defined results: lines that are no JSON object (damaged, null, empty) add nothing; of repeated deliveries
+of a line the first that is well formed counts (a null ``loaded_at`` is the earliest); a field whose
+values are all null is present and has no type; a feed's first file and a file whose predecessor wasn't
+delivered have no changes; records of a kind without a target schema are rescued whole and reported by
+their keys. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The target schema of each record kind.
+#: What a caller who names no others gets. The target schema of each record kind.
 TARGETS: dict[str, dict[str, str]] = {
     "selected_ion": {
         "spectrum_index": "bigint", "precursor_index": "bigint", "selected_ion_mz": "double", "charge_state": "int",
@@ -48,16 +50,16 @@ def key_form(c: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"[^A-Za-z0-9]+", ""))
 
 
-def approved_keys(kind: str) -> dict[str, str]:
-    forms = {f.replace("_", ""): f for f in TARGETS[kind]}
-    return {alias.replace("_", ""): field for alias, field in APPROVED[kind].items()} | forms
+def approved_forms(target: dict[str, str], approved: dict[str, str]) -> dict[str, str]:
+    """Key form -> target field: the fields themselves and the approved other spellings."""
+    return {alias.replace("_", ""): field for alias, field in approved.items() if field in target} | {f.replace("_", ""): f for f in target}
 
 
-def standard_field(kind: Column, key: Column) -> Column:
-    """The target field a key of a record kind stands for, else the key itself."""
-    names = {f"{k}/{form}": field for k in TARGETS for form, field in approved_keys(k).items()}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.concat(kind, F.lit("/"), key_form(key))), key)
+def _field_of(forms: dict[str, str], key: Column) -> Column:
+    """The target field a key stands for, else the key itself."""
+    if not forms:
+        return key
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in forms.items() for x in pair]), key_form(key)), key)
 
 
 def json_type(value: Column) -> Column:
@@ -66,8 +68,8 @@ def json_type(value: Column) -> Column:
     return (
         F.when(s == "BIGINT", "integer")
         .when(s == "STRING", "string")
-        .when(s.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")  # longer than a bigint
-        .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "fraction")
+        .when(s.startswith("DECIMAL"), F.when(s.endswith(",0)") & s.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer").otherwise("fraction"))  # an integer longer than a bigint
+        .when(s.isin("DOUBLE", "FLOAT"), "fraction")
         .when(s == "BOOLEAN", "boolean")
         .when(s.startswith("ARRAY"), "array")
         .when(s.startswith("OBJECT"), "object")
@@ -76,22 +78,21 @@ def json_type(value: Column) -> Column:
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Well-formed records with ``members``: a map from key to variant."""
-    return (
-        lines.withColumn("v", F.try_parse_json("raw_json"))
-        .where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-        .withColumn("members", F.expr("cast(v as map<string, variant>)"))
-        .drop("v")
-    )
+    return lines.withColumn("members", F.try_variant_get(F.try_parse_json("raw_json"), "$", "map<string,variant>")).where("members is not null")
+
 
+PLACE = ["feed_id", "file_seq", "file_id", "line_no"]
 
-def ingest(lines: DataFrame, kind: str, replay: bool = True) -> DataFrame:
-    """One consistent table of a record kind: place, typed target fields and ``_rescued``.
 
-    replay=False leaves approved spellings in ``_rescued`` too, as a first delivery finds them.
+def ingest_records(lines: DataFrame, target: dict[str, str], approved: dict[str, str], replay: bool = True) -> DataFrame:
+    """Every well-formed record with its place, typed target fields, ``_rescued`` and ``_seen``; deliveries aren't merged.
+
+    _seen: an array of (field, key, json_type) of all its keys. replay=False leaves approved spellings in
+    ``_rescued`` too, as a first delivery finds them.
     """
-    target, forms = TARGETS[kind], approved_keys(kind)
-    once = lines.where(F.col("record_kind") == kind).dropDuplicates(["file_id", "line_no"])
-    rows = parsed(once).select("feed_id", "file_seq", "file_id", "line_no", "loaded_at", "members")
+    forms = approved_forms(target, approved)
+    rows = parsed(lines)
+    keep = [c for c in ("record_kind", *PLACE, "loaded_at") if c in lines.columns]
 
     def cast(value: Column, to: str) -> Column:
         if to == "string":
@@ -100,16 +101,16 @@ def ingest(lines: DataFrame, kind: str, replay: bool = True) -> DataFrame:
         exact = F.coalesce(F.try_variant_get(value, "$", to), F.try_variant_get(value, "$", "string").try_cast(to))
         return exact if to == "double" else F.when(number.isNull() | (number == F.floor(number)), F.coalesce(exact, number.try_cast(to)))
 
-    typed = rows.select("*", *[cast(F.try_element_at("members", F.lit(f)), t).alias(f"t_{f}") for f, t in target.items()])
-    unmet = {f: F.col(f"t_{f}").isNull() for f in target}
-    rescue = F.map_filter("members", lambda k, x: ~k.isin(list(target)) | (~F.is_variant_null(x) & F.coalesce(*[F.when(k == f, unmet[f]) for f in target], F.lit(False))))
-    rescued = typed.withColumn("unmatched", rescue)
+    # each key's field and JSON type, in one walk over the record
+    seen = F.transform(F.map_entries("members"), lambda e: F.struct(_field_of(forms, e["key"]).alias("field"), e["key"].alias("key"), json_type(e["value"]).alias("json_type")))
+    typed = rows.select(*keep, "members", seen.alias("_seen"), *[cast(F.try_element_at("members", F.lit(f)), t).alias(f"t_{f}") for f, t in target.items()])
+    unmet = lambda k, prefix: F.coalesce(*[F.when(k == f, F.col(f"{prefix}_{f}").isNull()) for f in target], F.lit(False))
+    known = lambda k: k.isin(list(target)) if target else F.lit(False)
+    rescued = typed.withColumn("unmatched", F.map_filter("members", lambda k, x: ~known(k) | (~F.is_variant_null(x) & unmet(k, "t"))))
     if not replay:
-        return rescued.select("feed_id", "file_seq", "file_id", "line_no", "loaded_at", *[F.col(f"t_{f}").alias(f) for f in target], F.to_json("unmatched").alias("_rescued"))
-    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    entries = rescued.withColumn(
-        "again", F.transform(F.map_entries("unmatched"), lambda e: F.struct(F.coalesce(F.try_element_at(table, key_form(e["key"])), e["key"]).alias("field"), e["key"].alias("key"), e["value"].alias("value")))
-    )
+        return rescued.select(*keep, *[F.col(f"t_{f}").alias(f) for f in target], F.to_json("unmatched").alias("_rescued"), "_seen")
+    again = F.transform(F.map_entries("unmatched"), lambda e: F.struct(_field_of(forms, e["key"]).alias("field"), e["key"].alias("key"), e["value"].alias("value")))
+    entries = rescued.withColumn("again", again)
 
     def of_field(field: str, to: str) -> Column:
         return F.transform(F.filter("again", lambda e: e["field"] == field), lambda e: cast(e["value"], to))
@@ -117,34 +118,44 @@ def ingest(lines: DataFrame, kind: str, replay: bool = True) -> DataFrame:
     values = {f: of_field(f, t) for f, t in target.items()}
     replayed = entries.select("*", *[F.coalesce(f"t_{f}", F.try_element_at(F.array_compact(values[f]), F.lit(1))).alias(f"r_{f}") for f in target])
     # what no target field could take stays: unknown keys, and values of a field that stayed empty
-    left = F.filter("again", lambda e: ~e["field"].isin(list(target)) | (~F.is_variant_null(e["value"]) & F.coalesce(*[F.when(e["field"] == f, F.col(f"r_{f}").isNull()) for f in target], F.lit(False))))
+    left = F.filter("again", lambda e: ~known(e["field"]) | (~F.is_variant_null(e["value"]) & unmet(e["field"], "r")))
     rest = F.map_from_entries(F.transform(left, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    return replayed.select("feed_id", "file_seq", "file_id", "line_no", "loaded_at", *[F.col(f"r_{f}").alias(f) for f in target], F.when(F.size(left) > 0, F.to_json(rest)).alias("_rescued"))
+    return replayed.select(*keep, *[F.col(f"r_{f}").alias(f) for f in target], F.when(F.size(left) > 0, F.to_json(rest)).alias("_rescued"), "_seen")
 
 
-def observed_fields(lines: DataFrame) -> DataFrame:
-    """(record_kind, feed_id, file_seq, file_id, field_name, keys, types) of every file: its observed schema.
+def ingest(lines: DataFrame, kind: str, target: dict[str, str] | None = None, approved: dict[str, str] | None = None, replay: bool = True) -> DataFrame:
+    """One consistent table of a record kind: place, loaded_at, typed target fields and ``_rescued``; each line once.
 
-    The pairs of key and type are pre-aggregated per file before the shuffle, so a feed or file with a
-    third of all lines leaves as many rows as it has fields, and no text is shuffled: lines delivered
-    twice add nothing new.
+    Lines are typed where they are read, so deliveries are merged on typed columns and not on texts.
     """
-    pairs = (
-        parsed(lines)
-        .select("record_kind", "feed_id", "file_seq", "file_id", F.explode("members").alias("key", "value"))
-        .select("record_kind", "feed_id", "file_seq", "file_id", "key", json_type(F.col("value")).alias("json_type"))
-        .distinct()
-    )
-    return (
-        pairs.withColumn("field_name", standard_field(F.col("record_kind"), F.col("key")))
-        .groupBy("record_kind", "feed_id", "file_seq", "file_id", "field_name")
-        .agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set("json_type")).alias("types"))
-    )
+    target = TARGETS.get(kind, {}) if target is None else target
+    approved = APPROVED.get(kind, {}) if approved is None else approved
+    rows = ingest_records(lines.where(F.col("record_kind") == kind), target, approved, replay).drop("record_kind", "_seen")
+    first = F.min(F.struct("loaded_at", *[c for c in rows.columns if c not in ("file_id", "line_no", "loaded_at")])).alias("r")
+    return rows.groupBy("file_id", "line_no").agg(first).select(*[f"r.{c}" if c not in ("file_id", "line_no") else c for c in rows.columns])
 
 
-def schema_changes(lines: DataFrame) -> DataFrame:
+def observed_fields(lines: DataFrame, targets: dict[str, dict[str, str]] | None = None, approved: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """(record_kind, feed_id, file_seq, file_id, field_name, keys, types) of every file, from what ingestion saw.
+
+    The triples of field, key and type are pre-aggregated per file before the shuffle, so a feed or file with
+    a third of all lines leaves as many rows as it has fields, and no text is shuffled: lines delivered
+    twice add nothing new.
+    """
+    targets, approved = targets or TARGETS, approved or APPROVED
+    file = ["record_kind", "feed_id", "file_seq", "file_id"]
+    kinds = [(lines.where(F.col("record_kind") == kind), target, approved.get(kind, {})) for kind, target in targets.items()]
+    kinds.append((lines.where(~F.col("record_kind").isin(list(targets))), {}, {}))
+    seen = None
+    for some, target, other in kinds:
+        one = ingest_records(some, target, other).select(*file, F.explode("_seen").alias("s")).select(*file, "s.field", "s.key", "s.json_type")
+        seen = one if seen is None else seen.unionByName(one)
+    return seen.distinct().groupBy(*file, F.col("field").alias("field_name")).agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set("json_type")).alias("types"))
+
+
+def schema_changes(lines: DataFrame, targets: dict[str, dict[str, str]] | None = None, approved: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(record_kind, feed_id, file_seq, file_id, field_name, change_kind, before, after) against the file before."""
-    seen = observed_fields(lines)
+    seen = observed_fields(lines, targets, approved)
     place = ["record_kind", "feed_id", "file_seq"]
     files = lines.select(*place, "file_id").distinct()
     before = seen.select("record_kind", "feed_id", (F.col("file_seq") + 1).alias("file_seq"), "field_name", F.col("keys").alias("keys0"), F.col("types").alias("types0"))

@@ -615,7 +615,7 @@ def curie_format(spark, d):
     return table(spark, d, "orders").select("o_orderkey", cv.curie(F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(2), F.col("o_custkey")).alias("curie"))
 
 
-_ENTRY_FORMS = ", ".join(f"('{form}', '{field}')" for form, field in drift.approved_keys("file_entry").items() if field in ("name", "data_kind", "entity_type"))
+_ENTRY_FORMS = ", ".join(f"('{form}', '{field}')" for form, field in drift.approved_forms(drift.TARGETS["file_entry"], drift.APPROVED["file_entry"]).items() if field in ("name", "data_kind", "entity_type"))
 
 
 @query(f"""WITH f(form, field) AS (VALUES {_ENTRY_FORMS}),

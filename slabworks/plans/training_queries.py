@@ -65,12 +65,12 @@ def p3_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_certified(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each answer's counted rank error is within the stated one."""
-    return p3_percentiles(spark, d).select("field_name", "ms_level", "day", "quantile", "n", (F.col("rank_error") <= F.col("stated_error")).alias("within"))
+    """Whether each answer's counted rank error is within the stated one; the extremes are exact."""
+    return p3_percentiles(spark, d).select("field_name", "ms_level", "day", "quantile", "n", "low", "high", (F.col("rank_error") <= F.col("stated_error")).alias("within"))
 
 
 def p3_combined_certified(spark: SparkSession, d: str) -> DataFrame:
-    return p3_combined(spark, d).select("field_name", "ms_level", "quantile", "n", (F.col("rank_error") <= F.col("stated_error")).alias("within"))
+    return p3_combined(spark, d).select("field_name", "ms_level", "quantile", "n", "low", "high", (F.col("rank_error") <= F.col("stated_error")).alias("within"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _ingest(kind: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return drift.ingest(table(spark, d, "archive_line"), kind)
+        return drift.ingest(table(spark, d, "archive_line"), kind).drop("loaded_at")
 
     return query
 
@@ -196,29 +196,58 @@ w AS (SELECT * FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
 q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS quantile)
 """
 
-_P4_CELLS = f"""
-WITH r0 AS (SELECT run_id, spectrum_index, value, {_sq('accession')} AS acc, {_sq('name')} AS name, {_sq('value.string')} AS s FROM spectrum_parameter WHERE run_id IS NOT NULL AND spectrum_index IS NOT NULL),
+_P4_BASE = f"""
+WITH r0 AS (SELECT run_id, spectrum_index, param_id, value, {_sq('accession')} AS acc, {_sq('name')} AS name, {_sq('value.string')} AS s FROM spectrum_parameter WHERE run_id IS NOT NULL AND spectrum_index IS NOT NULL),
 r1 AS (
-  SELECT r.*, coalesce(a.accession, b.accession) AS accession, coalesce(a.value_type, b.value_type) AS value_type
+  SELECT r.*, coalesce(a.accession, b.accession) AS accession, coalesce(a.attribute_name, b.attribute_name) AS attribute_name, coalesce(a.value_type, b.value_type) AS value_type, regexp_extract(s, {_NUM}, 1) AS t
   FROM r0 r LEFT JOIN attribute_ref a ON a.owner_kind = 'spectrum' AND a.accession = {_CURIE.format('r.acc')}
-  LEFT JOIN attribute_ref b ON b.owner_kind = 'spectrum' AND coalesce(r.acc, '') = '' AND regexp_replace(b.attribute_name, '[^a-z0-9]+', '', 'g') = {_NAME.format('r.name')})
-SELECT DISTINCT run_id, spectrum_index, accession FROM r1
-WHERE (value_type IN ('double', 'int') AND (value.integer IS NOT NULL OR value.float IS NOT NULL OR regexp_matches(s, {_NUM})))
-   OR (value_type = 'boolean' AND (value.boolean IS NOT NULL OR value.integer IN (0, 1) OR value.float IN (0, 1) OR lower(s) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', 'on', 'off', '0', '1', '0.0', '1.0')))
-   OR (value_type = 'string' AND (value.integer IS NOT NULL OR value.float IS NOT NULL OR value.boolean IS NOT NULL
-       OR (s <> '' AND lower(s) NOT IN ('unknown', 'not set', 'nan?', 'nan', '--', '-', 'n/a', 'na', '#ref', '#ref!', 'pending', 'null', 'none', 'tbd', '?'))))"""
-
-_FORM_ROWS = ", ".join(f"('{k}', '{form}', '{field}')" for k in drift.TARGETS for form, field in drift.approved_keys(k).items())
-_P5 = f"""
-WITH f(kind, form, field) AS (VALUES {_FORM_ROWS}),
+  LEFT JOIN attribute_ref b ON b.owner_kind = 'spectrum' AND coalesce(r.acc, '') = '' AND regexp_replace(b.attribute_name, '[^a-z0-9]+', '', 'g') = {_NAME.format('r.name')}),
+r2 AS (SELECT *, regexp_extract(t, '([.,])[^.,]*$', 1) AS mark, regexp_extract(t, '^(.*)[.,][^.,]*$', 1) AS front, regexp_extract(t, '[.,]([^.,]*)$', 1) AS back FROM r1),
+r3 AS (
+  SELECT *, CASE WHEN t = '' THEN NULL WHEN mark = '' THEN t WHEN contains(front, mark) THEN regexp_replace(t, '[.,]', '', 'g') ELSE regexp_replace(front, '[.,]', '', 'g') || '.' || back END AS plain,
+    CASE WHEN CAST(value.float AS VARCHAR) NOT IN ('nan', 'inf', '-inf') THEN value.float END AS f, lower(s) AS ls FROM r2),
+cells AS (
+  SELECT run_id, spectrum_index, accession, attribute_name, param_id,
+    CASE WHEN value_type = 'double' THEN coalesce(CAST(value.integer AS DOUBLE), f, CAST(plain AS DOUBLE)) END AS num,
+    CASE WHEN value_type = 'int' THEN coalesce(value.integer, CAST(round(f) AS BIGINT), TRY_CAST(plain AS BIGINT), CAST(round(CAST(plain AS DOUBLE)) AS BIGINT)) END AS whole,
+    CASE WHEN value_type = 'boolean' THEN CASE WHEN value.boolean IS NOT NULL THEN value.boolean WHEN value.integer IN (0, 1) THEN value.integer = 1 WHEN value.float IN (0, 1) THEN value.float = 1
+      WHEN ls IN ('true', 't', 'yes', 'y', 'on', '1', '1.0') THEN true WHEN ls IN ('false', 'f', 'no', 'n', 'off', '0', '0.0') THEN false END END AS flag,
+    CASE WHEN value_type = 'string' THEN coalesce(CASE WHEN s <> '' AND ls NOT IN ('unknown', 'not set', 'nan?', 'nan', '--', '-', 'n/a', 'na', '#ref', '#ref!', 'pending', 'null', 'none', 'tbd', '?') THEN value.string END,
+      CAST(value.integer AS VARCHAR), CAST(f AS VARCHAR), CAST(value.boolean AS VARCHAR)) END AS text
+  FROM r3 WHERE accession IS NOT NULL),
+filled AS (SELECT * FROM cells WHERE num IS NOT NULL OR whole IS NOT NULL OR flag IS NOT NULL OR text IS NOT NULL)
+"""
+#: The spectrum attributes of the attribute table, by type.
+_P4_TYPES = {
+    "num": ["ion injection time", "scan start time", "ion mobility drift time", "collision energy", "source potential", "declustering potential", "transfer tube temperature", "trap gas temperature",
+            "wavelength", "laser spot width", "isolation purity", "mass resolving power"],
+    "whole": ["preset scan configuration", "microscan count"], "flag": ["lock mass found", "detector saturated"], "text": ["filter string", "spectrum title"],
+}
+_P4_WIDE = ", ".join(f"arg_min({c}, param_id) FILTER (WHERE attribute_name = '{a}') AS {a.replace(' ', '_')}" for c, names in _P4_TYPES.items() for a in names)
+
+#: What keys the files use for each field beside its name, as they are written there.
+_KEYS = {
+    "selected_ion": {
+        "spectrum_index": ["spectrumIndex", "spectrum_idx", "source_index"], "precursor_index": ["precursorIndex", "precursor_idx"], "selected_ion_mz": ["selectedIonMz", "MS_1000744_selected_ion_mz_unit_MS_1000040"],
+        "charge_state": ["charge", "MS_1000041_charge_state"], "intensity": ["ion_intensity", "MS_1000042_intensity_unit_MS_1000131"], "ion_mobility": ["ionMobility", "ion_mobility_value"], "parameters": [],
+    },
+    "array_index_entry": {
+        "context": [], "path": [], "data_type": [], "array_type": [], "array_name": ["arrayName", "name"], "unit": ["unit_curie"], "buffer_format": ["bufferFormat", "format", "buffer_layout"], "transform": [],
+        "data_processing_id": ["data_processing_ref"], "buffer_priority": [], "sorting_rank": ["sortingRank", "sort_rank"],
+    },
+    "file_entry": {"name": ["fileName", "file_name"], "entity_type": ["entityType", "entity"], "data_kind": ["dataKind", "data-kind", "kind"], "size_bytes": ["sizeBytes"], "row_count": []},
+}
+_KEY_ROWS = ", ".join(f"('{kind}', '{key}', '{field}', {str(key == field).lower()})" for kind, fields in _KEYS.items() for field, keys in fields.items() for key in [field, *keys])
+_P5_LINES = f"""
+WITH f(kind, key, field, exact) AS (VALUES {_KEY_ROWS}),
 l AS (SELECT DISTINCT record_kind, feed_id, file_seq, file_id, line_no, raw_json FROM archive_line WHERE json_valid(raw_json) AND json_type(raw_json) = 'OBJECT'),
-k AS (SELECT record_kind, feed_id, file_seq, file_id, raw_json, unnest(json_keys(raw_json)) AS key FROM l),
-ty AS (SELECT DISTINCT record_kind, feed_id, file_seq, file_id, key, json_type(raw_json, '$."' || key || '"') AS t FROM k),
+k AS (SELECT record_kind, feed_id, file_seq, file_id, line_no, raw_json, unnest(json_keys(raw_json)) AS key FROM l),
+"""
+_P5 = _P5_LINES + """ty AS (SELECT DISTINCT record_kind, feed_id, file_seq, file_id, key, json_type(raw_json, '$."' || key || '"') AS t FROM k),
 o AS (
   SELECT ty.record_kind, feed_id, file_seq, file_id, coalesce(f.field, ty.key) AS field_name, list_sort(list(DISTINCT ty.key)) AS keys,
          list_sort(coalesce(list(DISTINCT CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN 'INT' ELSE t END) FILTER (WHERE t <> 'NULL'), [])) AS types
-  FROM ty LEFT JOIN f ON f.kind = ty.record_kind
-    AND f.form = lower(regexp_replace(regexp_replace(regexp_replace(ty.key, '^[A-Z]+_[0-9]+_', ''), '_unit(_[A-Z]+_[0-9]+)?$', ''), '[^A-Za-z0-9]+', '', 'g'))
+  FROM ty LEFT JOIN f ON f.kind = ty.record_kind AND f.key = ty.key
   GROUP BY ALL),
 files AS (SELECT DISTINCT record_kind, feed_id, file_seq, file_id FROM archive_line),
 pairs AS (SELECT b.record_kind, b.feed_id, b.file_seq, b.file_id FROM files b JOIN files a ON a.record_kind = b.record_kind AND a.feed_id = b.feed_id AND a.file_seq = b.file_seq - 1),
@@ -233,6 +262,29 @@ UNION ALL SELECT file_id, field_name, 'removed' FROM d WHERE k1 IS NULL
 UNION ALL SELECT file_id, field_name, 'renamed' FROM d WHERE k0 <> k1
 UNION ALL SELECT file_id, field_name, 'retyped' FROM d WHERE len(t0) > 0 AND len(t1) > 0 AND t0 <> t1"""
 
+
+#: The types of the fields that aren't text.
+_P5_NUMBERS = {"spectrum_index": "BIGINT", "precursor_index": "BIGINT", "selected_ion_mz": "DOUBLE", "charge_state": "INTEGER", "intensity": "DOUBLE", "ion_mobility": "DOUBLE", "sorting_rank": "INTEGER", "size_bytes": "BIGINT", "row_count": "BIGINT"}
+
+
+def _p5_table(kind: str) -> str:
+    """The consistent table of a record kind: of a field's keys the exact one first, then the others in their order."""
+
+    def cast(field: str) -> str:
+        to = _P5_NUMBERS.get(field)
+        if to in (None, "DOUBLE"):
+            return "t" if to is None else "TRY_CAST(t AS DOUBLE)"
+        return f"CASE WHEN TRY_CAST(t AS DOUBLE) = floor(TRY_CAST(t AS DOUBLE)) THEN TRY_CAST(TRY_CAST(t AS DOUBLE) AS {to}) END"
+
+    columns = ", ".join(f"arg_min({cast(f)}, (NOT exact, key)) FILTER (WHERE field = '{f}' AND {cast(f)} IS NOT NULL) AS {f}" for f in _KEYS[kind])
+    took = "CASE " + " ".join(f"WHEN field = '{f}' THEN {f} IS NOT NULL" for f in _KEYS[kind]) + " END"
+    return _P5_LINES + f"""e AS (SELECT k.*, f.field, f.exact, json_extract(raw_json, '$."' || k.key || '"') AS j, raw_json ->> ('$."' || k.key || '"') AS t FROM k LEFT JOIN f ON f.kind = k.record_kind AND f.key = k.key WHERE record_kind = '{kind}'),
+r AS (SELECT feed_id, file_seq, file_id, line_no, {columns} FROM e GROUP BY feed_id, file_seq, file_id, line_no),
+x AS (SELECT e.file_id, e.line_no, '{{' || string_agg('"' || key || '":' || coalesce(CAST(j AS VARCHAR), 'null'), ',' ORDER BY key) || '}}' AS _rescued FROM e JOIN r ON r.file_id = e.file_id AND r.line_no = e.line_no
+  WHERE field IS NULL OR (json_type(j) <> 'NULL' AND NOT {took}) GROUP BY ALL)
+SELECT r.*, _rescued FROM r LEFT JOIN x ON x.file_id = r.file_id AND x.line_no = r.line_no"""
+
+
 _FILLED = "(p.value.integer IS NOT NULL OR p.value.float IS NOT NULL OR p.value.string IS NOT NULL OR p.value.boolean IS NOT NULL OR p.accession IS NOT NULL OR p.name IS NOT NULL OR p.unit IS NOT NULL)"
 _P6_BASE = """
 WITH s AS (SELECT spectrum_key AS k, arg_max(parameters, loaded_at) AS parameters, arg_max(auxiliary_arrays, loaded_at) AS aux FROM spectrum GROUP BY 1),
@@ -252,10 +304,12 @@ ORACLES: dict[str, str] = {
     "p1_common_values": _P1_BASE + "SELECT attribute, common_unit, recorded_unit, count(*) AS n_values, round(min(common_value), 4) AS lowest, round(max(common_value), 4) AS highest FROM told GROUP BY ALL",
     "p2_found": _P2_BASE + "SELECT table_name, field_name, row_id FROM o WHERE reason IS NOT NULL",
     "p2_counts": _P2_BASE + "SELECT table_name, field_name, CAST(loaded AS DATE) AS period, reason, count(*) AS n_orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
-    "p3_certified": _P3_BASE + "SELECT field_name, ms_level, day, quantile, n, true AS within FROM (SELECT field_name, ms_level, day, count(*) AS n FROM w GROUP BY ALL) CROSS JOIN q",
-    "p3_combined_certified": _P3_BASE + "SELECT field_name, ms_level, quantile, n, true AS within FROM (SELECT field_name, ms_level, count(*) AS n FROM w GROUP BY ALL) CROSS JOIN q",
-    "p4_found": _P4_CELLS,
+    "p3_certified": _P3_BASE + "SELECT field_name, ms_level, day, quantile, n, low, high, true AS within FROM (SELECT field_name, ms_level, day, count(*) AS n, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high FROM w GROUP BY ALL) CROSS JOIN q",
+    "p3_combined_certified": _P3_BASE + "SELECT field_name, ms_level, quantile, n, low, high, true AS within FROM (SELECT field_name, ms_level, count(*) AS n, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high FROM w GROUP BY ALL) CROSS JOIN q",
+    "p4_found": _P4_BASE + "SELECT DISTINCT run_id, spectrum_index, accession FROM filled",
+    "p4_wide": _P4_BASE + f"SELECT run_id, spectrum_index, {_P4_WIDE} FROM filled GROUP BY ALL",
     "p5_found": _P5,
+    **{f"p5_{kind}": _p5_table(kind) for kind in _KEYS},
     "p6_found": _P6_BASE + f"""SELECT owner_table, owner_id, field_path, pos_outer, pos_inner FROM rows0 WHERE p IS NOT NULL AND {_FILLED}
 UNION ALL SELECT 'spectrum', k, 'auxiliary_arrays', o, CAST(-1 AS INTEGER) FROM sa WHERE a IS NOT NULL""",
     "p6_parameters": _P6_BASE + f"""SELECT owner_table, owner_id, field_path, pos_outer, pos_inner, p.value.integer AS value_integer, p.value.float AS value_float, p.value.string AS value_string,

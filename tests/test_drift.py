@@ -39,3 +39,21 @@ def test_ingest_rescues_and_replays(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], L)
     assert R.schema_changes(e).count() == 0 and R.ingest(e, "file_entry").count() == 0
+
+
+def test_targets_and_approvals_are_the_callers(spark):
+    files = {0: [{"depth": 1, "Colour": "red"}], 1: [{"deepness": "2", "hue": "x", "extra": None}]}
+    rows = lines(spark, files, "rock")
+    target, approved = {"depth": "int", "colour": "string"}, {"deepness": "depth"}
+    got = sorted(R.ingest(rows, "rock", target, approved).collect(), key=lambda r: r.file_seq)
+    assert [(r.depth, r.colour) for r in got] == [(1, "red"), (2, None)] and json.loads(got[1]._rescued) == {"hue": "x", "extra": None}
+    told = {(r.field_name, r.change_kind) for r in R.schema_changes(rows, {"rock": target}, {"rock": approved}).collect()}
+    assert told == {("depth", "renamed"), ("depth", "retyped"), ("colour", "removed"), ("hue", "added"), ("extra", "added")}
+    # a kind nobody gave a target for is rescued whole and reported by its keys
+    assert {(r.field_name, r.change_kind) for r in R.schema_changes(rows).collect()} == {("depth", "removed"), ("deepness", "added"), ("Colour", "removed"), ("hue", "added"), ("extra", "added")}
+
+
+def test_the_first_good_delivery_counts(spark):
+    rows = [("f", 0, 1, "selected_ion", 0, "{", "1"), ("f", 0, 1, "selected_ion", 0, '{"intensity": 1.0}', "2"), ("f", 0, 1, "selected_ion", 0, '{"intensity": 2.0}', "3"), ("f", 0, 1, "selected_ion", 1, '{"intensity": 3.0}', None), ("f", 0, 1, "selected_ion", 1, '{"intensity": 4.0}', "1")]
+    got = sorted((r.line_no, r.intensity) for r in R.ingest(spark.createDataFrame(rows, L), "selected_ion").collect())
+    assert got == [(0, 1.0), (1, 3.0)]

@@ -23,7 +23,8 @@ def brute(texts, path, hollow):
 def run(texts, path, hollow):
     raw = [t.encode() for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    got = N.children(np.frombuffer(b"".join(raw), dtype=np.uint8).copy(), starts, path, hollow)
+    buf = np.frombuffer(b"".join(raw), dtype=np.uint8).copy()
+    got = N.children(N.StructuralIndex(buf, starts) if len(buf) else None, path, hollow)
     spans = [b"".join(raw)[a:b].decode() for a, b in zip(got["head"], got["stop"])]
     return [(int(r), tuple(int(x) for x in p)) for r, p in zip(got["row"], got["places"].T)], spans
 
@@ -75,3 +76,13 @@ def test_run_tables(spark):
     }
     assert {r.value_integer for r in N.parameter_table(found).collect()} == {1, None, 2, 5}
     assert N.run_children(s.limit(0), i.limit(0)).count() == 0
+    assert '"data":[1]' not in str(found.collect()) and '"data":[1]' in str(N.run_children(s, i, with_record=True, payload=True).collect())
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    rows = [(k, json.dumps({"parameters": [{"a": k}, None, {"b": "x" * (k % 7) * 40}]}) if k % 5 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "key bigint, json string").coalesce(1)
+    want = {tuple(r) for r in N.flatten(df, "key", "json", "t", [("parameters",)], with_record=True).collect()}
+    monkeypatch.setattr(N, "BATCH_BYTES", 100)
+    part = N.flatten(df, "key", "json", "t", [("parameters",)], with_record=True)
+    assert {tuple(r) for r in part.collect()} == want and len(want) == 320

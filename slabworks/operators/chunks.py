@@ -4,9 +4,12 @@ A chunk is a row with the entity's key, the chunk's first and last coordinate, i
 encoding, and lists of the other columns. Plain and delta chunks keep the first coordinate only as the
 start; a chunk of one point has end = start. Coordinates may be null: start and end are the first and last
 that aren't, deltas behind a null are absolute, and where the first point's coordinate is null it is listed,
-so the list is as long as the others. Decoding is higher-order functions on the lists, so a range
-query filters chunks by their bounds before any list is opened. Numpress and byte payloads need loops or
-byte views and go through Arrow batches.
+so the list is as long as the others. Other columns may be kept as Numpress bytes. A range query filters
+chunks by their bounds before any list is opened. Encoding deltas is one pass of higher-order functions;
+decoding them, Numpress and byte payloads are numpy over Arrow batches, linear in the points.
+
+Defined results: null and empty lists stay so; not-a-number in a list counts as null; bytes that don't fit
+their type or are damaged give nulls in place of values.
 """
 
 from __future__ import annotations
@@ -15,38 +18,96 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slabworks.operators import extract, signal
+from slabworks.operators import extract, models, signal
 
-#: Accessions of encodings, compressions and data types.
+#: Accessions of encodings, compressions, transforms and data types.
 PLAIN, DELTA, NUMPRESS_LINEAR = "MS:1000576", "MS:1003089", "MS:1002312"
 NUMPRESS_PIC, NUMPRESS_SLOF, ZLIB = "MS:1002313", "MS:1002314", "MS:1000574"
+NULL_INTERPOLATE, NULL_ZERO = "MS:1003901", "MS:1003902"
 DTYPES = {"MS:1000519": "<i4", "MS:1000521": "<f4", "MS:1000522": "<i8", "MS:1000523": "<f8"}
 ASCII = "MS:1001479"
+#: How the columns of transformed lists end.
+TRANSFORMED = {NUMPRESS_SLOF: "_numpress_slof_bytes", NUMPRESS_PIC: "_numpress_pic_bytes"}
+
 
+def encode_chunks(
+    points: DataFrame, width: float, encoding: str = DELTA, key: str = "index", pos: str = "pos", axis: str = "mz", others: tuple[str, ...] = ("intensity",), transforms: dict[str, str] | None = None
+) -> DataFrame:
+    """Chunk rows of an entity's points (ascending coordinates, nulls between them).
 
-def encode_chunks(points: DataFrame, width: float, encoding: str = DELTA, key: str = "index", pos: str = "pos", axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> DataFrame:
-    """Chunk rows of an entity's points (ascending coordinates, nulls between them)."""
+    transforms: other column -> NUMPRESS_SLOF or NUMPRESS_PIC; it is kept as bytes in that form.
+    """
     cut = signal.chunk_ids(points.select(key, pos, axis, *others), key, pos, axis, width)
     lists = cut.groupBy(key, "chunk_id").agg(F.sort_array(F.collect_list(F.struct(pos, axis, *others))).alias("r"))
-    values = F.col(f"r.{axis}")
-    head = F.when(F.element_at(values, 1).isNull(), F.slice(values, 1, 1)).otherwise(F.slice(values, 1, 0))
-    rest = F.concat(head, F.slice(values, 2, F.greatest(F.size("r") - 1, F.lit(0))))
-    delta = lambda i: F.when(F.element_at(values, i - 1).isNull(), F.element_at(values, i)).otherwise(F.element_at(values, i) - F.element_at(values, i - 1))
-    stepped = F.concat(head, F.transform(F.sequence(F.lit(2), F.size("r")), delta))
-    told = {PLAIN: rest, DELTA: F.when(F.size("r") > 1, stepped).otherwise(rest)}
-    kept = {PLAIN: told[PLAIN], DELTA: told[DELTA], NUMPRESS_LINEAR: values}[encoding]
-    some = F.array_compact(values)
+    # columns of their own, so that no list is taken out of the structs again for every element
+    lists = lists.select(key, "chunk_id", F.size("r").alias("_n"), F.col(f"r.{axis}").alias("_x"), *[F.col(f"r.{o}").alias(o) for o in others])
+    x, n = F.col("_x"), F.col("_n")
+    head = F.when(F.try_element_at(x, F.lit(1)).isNull(), F.slice(x, 1, 1)).otherwise(F.slice(x, 1, 0))
+    tail = F.slice(x, 2, F.greatest(n - 1, F.lit(0)))
+    step = lambda b, a: F.when(a.isNull(), b).otherwise(b - a)
+    kept = {PLAIN: F.concat(head, tail), DELTA: F.concat(head, F.zip_with(tail, F.slice(x, 1, F.greatest(n - 1, F.lit(0))), step)), NUMPRESS_LINEAR: x}[encoding]
+    some = F.array_compact(x)
+    transforms = transforms or {}
+    told = [F.col(o) if o not in transforms else {NUMPRESS_SLOF: encode_slof, NUMPRESS_PIC: encode_pic}[transforms[o]](F.col(o).cast("array<double>")).alias(o + TRANSFORMED[transforms[o]]) for o in others]
     out = lists.select(
         key, "chunk_id", F.try_element_at(some, F.lit(1)).alias(f"{axis}_chunk_start"), F.try_element_at(some, F.lit(-1)).alias(f"{axis}_chunk_end"), kept.alias(f"{axis}_chunk_values"),
-        F.lit(encoding).alias("chunk_encoding"), *[F.col(f"r.{o}").alias(o) for o in others],
+        F.lit(encoding).alias("chunk_encoding"), *told,
     )
     if encoding != NUMPRESS_LINEAR:
         return out
-    return out.withColumn(f"{axis}_numpress_linear_bytes", encode_linear(F.col(f"{axis}_chunk_values"))).withColumn(f"{axis}_chunk_values", F.array().cast("array<double>"))
+    return out.withColumn(f"{axis}_numpress_linear_bytes", encode_linear(F.col(f"{axis}_chunk_values").cast("array<double>"))).withColumn(f"{axis}_chunk_values", F.array().cast("array<double>"))
+
+
+def encode_profile(points: DataFrame, width: float, encoding: str = DELTA, is_profile: bool = True, key: str = "index", pos: str = "pos", axis: str = "mz", intensity: str = "intensity", others: tuple[str, ...] = ()) -> DataFrame:
+    """The write path of an entity's points: zero runs stripped, paired zeros marked null, cut and encoded.
+
+    Only profile data is stripped and marked; delta encoding gives way to the plain one for other data.
+    """
+    if is_profile:
+        points = signal.null_mark(signal.strip_zero_runs(points, key, pos, intensity), key, pos, intensity, [axis])
+    elif encoding == DELTA:
+        encoding = PLAIN
+    return encode_chunks(points, width, encoding, key, pos, axis, (intensity, *others))
+
+
+def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list array behind each other, nulls as not-a-number, and where each list begins."""
+    lens = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    flat = a.flatten()
+    values = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return values, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+
+
+def _as_lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A list array of the parts; not-a-number becomes null, None a null list."""
+    offsets = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0), *[p for p in parts if p is not None]]).astype(np.float64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, mask=np.isnan(values)), mask=pa.array([p is None for p in parts], pa.bool_()))
+
+
+def running_sums(deltas: np.ndarray) -> np.ndarray:
+    """Coordinates from null-aware deltas: a value behind a null is absolute, nulls (not-a-number) stay."""
+    null = np.isnan(deltas)
+    if not null.any():
+        return np.cumsum(deltas)
+    total = np.cumsum(np.where(null, 0.0, deltas))
+    last = np.maximum.accumulate(np.where(null, np.arange(len(deltas)), -1))
+    return np.where(null, np.nan, total - np.where(last >= 0, total[np.maximum(last, 0)], 0.0))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _from_deltas(start: pa.Array, values: pa.Array, listed: pa.Array) -> pa.Array:
+    flat, at = _lists(values)
+    first = start.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    whole = listed.fill_null(False).to_numpy(zero_copy_only=False)
+    parts = [flat[a:b] if w else np.concatenate([[s], flat[a:b]]) for a, b, s, w in zip(at[:-1], at[1:], first, whole)]
+    return _as_lists([running_sums(p) for p in parts])
 
 
 def decoded_axis(axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> Column:
@@ -55,29 +116,78 @@ def decoded_axis(axis: str = "mz", others: tuple[str, ...] = ("intensity",)) ->
     The lists of other columns tell whether the first coordinate is listed. Without them it is taken to be
     if it is null and the second isn't: two nulls at the front stand behind a start of their own.
     """
-    start, values = F.col(f"{axis}_chunk_start").cast("double"), F.col(f"{axis}_chunk_values").cast("array<double>")
+    start, values = F.col(f"{axis}_chunk_start").cast("double"), F.coalesce(F.col(f"{axis}_chunk_values").cast("array<double>"), F.array().cast("array<double>"))
     null_at = lambda i: F.try_element_at(values, F.lit(i)).isNull()
     listed = F.size(values) == F.size(others[0]) if others else (F.size(values) > 0) & null_at(1) & ((F.size(values) == 1) | ~null_at(2) | start.isNull())
-    head = F.when(~listed, start)
-    rest = F.when(listed, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))).otherwise(values)
-    summed = F.aggregate(rest, F.array(head), lambda acc, d: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1) + d, d))))
-    return F.when(F.col("chunk_encoding") == DELTA, summed).otherwise(F.concat(F.array(head), rest))
+    plain = F.when(listed, values).otherwise(F.concat(F.array(start), values))
+    return F.when(F.col("chunk_encoding") == DELTA, _from_deltas(start, values, listed)).otherwise(plain)
 
 
 def decode_chunks(chunks: DataFrame, key: str = "index", axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> DataFrame:
-    """Points of chunks: key, chunk_id, place in the chunk, coordinate and the other columns."""
+    """Points of chunks: key, chunk_id, place in the chunk, coordinate and the other columns, transformed ones too."""
+    for o in others:
+        for transform, ending in TRANSFORMED.items():
+            if o + ending in chunks.columns:
+                chunks = chunks.withColumn(o, (decode_slof if transform == NUMPRESS_SLOF else decode_pic)(F.col(o + ending)))
+    coords = decoded_axis(axis, others)
     if f"{axis}_numpress_linear_bytes" in chunks.columns:
-        coords = F.when(F.col("chunk_encoding") == NUMPRESS_LINEAR, decode_linear(F.col(f"{axis}_numpress_linear_bytes"))).otherwise(decoded_axis(axis, others))
-    else:
-        coords = decoded_axis(axis, others)
+        coords = F.when(F.col("chunk_encoding") == NUMPRESS_LINEAR, decode_linear(F.col(f"{axis}_numpress_linear_bytes"))).otherwise(coords)
     zipped = chunks.withColumn(axis, coords).select(key, "chunk_id", F.posexplode(F.arrays_zip(axis, *others)).alias("place", "p"))
     return zipped.select(key, "chunk_id", "place", f"p.{axis}", *[f"p.{o}" for o in others])
 
 
-def extract_from_chunks(chunks: DataFrame, lo: float, hi: float, key: str = "index", axis: str = "mz", others: tuple[str, ...] = ("intensity",)) -> DataFrame:
-    """Points in a coordinate range: chunks that overlap it, decoded, then trimmed."""
-    near = chunks.where(extract.overlaps(f"{axis}_chunk_start", f"{axis}_chunk_end", lo, hi))
-    return decode_chunks(near, key, axis, others).where(extract.contains(axis, lo, hi))
+def read_chunks(chunks: DataFrame, fill: str | None = NULL_INTERPOLATE, key: str = "index", axis: str = "mz", others: tuple[str, ...] = ("intensity",), model: DataFrame | None = None) -> DataFrame:
+    """Points of whole entities: decoded, null coordinates interpolated (or left, with fill=None), null intensities zero.
+
+    model: (key, mz_delta_model) for stretches of one value. A coordinate that nothing tells stays null.
+    """
+    points = decode_chunks(chunks, key, axis, others)
+    if fill is None:
+        return points
+    points = points.withColumn("_pos", F.struct("chunk_id", "place"))
+    filled = fill_coordinates(points, key, "_pos", axis, model)
+    zero = [F.coalesce(F.col(o), F.lit(0)).cast(points.schema[o].dataType).alias(o) if points.schema[o].dataType.typeName() in ("float", "double", "integer", "long") else F.col(o) for o in others]
+    return filled.select(key, "chunk_id", "place", axis, *zero)
+
+
+def fill_coordinates(points: DataFrame, key: str, pos: str, axis: str, model: DataFrame | None = None) -> DataFrame:
+    """Null coordinates from their stretches; an entity's spacing model tells the step of a single value."""
+    if model is None:
+        return signal.fill_nulls(points, key, pos, axis, name="_filled").withColumn(axis, F.col("_filled")).drop("_filled")
+    told = points.join(model.select(key, F.col("mz_delta_model").alias("_model")), key, "left")
+    filled = signal.fill_nulls(told, key, pos, axis, models.predict(F.col("_model"), F.col("_edge")), name="_filled")
+    return filled.withColumn(axis, F.col("_filled")).drop("_filled", "_model")
+
+
+def entity_from_chunks(chunks: DataFrame, index: int, key: str = "index", axis: str = "mz", others: tuple[str, ...] = ("intensity",), model: DataFrame | None = None) -> DataFrame:
+    """The points of one entity in order, as a single read gives them: filled, without columns that are null throughout."""
+    points = read_chunks(chunks.where(F.col(key) == index), NULL_INTERPOLATE, key, axis, others, model)
+    return points.orderBy("chunk_id", "place")
+
+
+def extract_from_chunks(
+    chunks: DataFrame, lo: float | None, hi: float | None, key: str = "index", axis: str = "mz", others: tuple[str, ...] = ("intensity",), meta: DataFrame | None = None, time: extract.Range | None = None,
+    ms_level: extract.Range | None = None, im: extract.Range | None = None, fill: str | None = None, model: DataFrame | None = None, with_time: bool = False,
+) -> DataFrame:
+    """Points in a slab of coordinate, time, MS level and mobility (other column ``im``).
+
+    Chunks are selected by entity and by their bounds before a list is opened, then decoded and trimmed.
+    fill=NULL_INTERPOLATE decodes the selected entities whole, as a stretch between nulls may lie in
+    several chunks, fills null coordinates and trims then; else null coordinates are in no range.
+    """
+    near = chunks
+    keys = extract.select_entities(meta, time, ms_level) if meta is not None and (time or ms_level or with_time) else None
+    if keys is not None:
+        near = near.join(keys.select(F.col("index").alias(key)), key, "left_semi")
+    if fill is None and (lo is not None or hi is not None):
+        far = float("inf")
+        near = near.where(extract.overlaps(f"{axis}_chunk_start", f"{axis}_chunk_end", -far if lo is None else lo, far if hi is None else hi))
+    points = decode_chunks(near, key, axis, others) if fill is None else read_chunks(near, fill, key, axis, others, model)
+    if lo is not None or hi is not None:
+        points = points.where(extract.contains(axis, lo, hi))
+    if im and "im" in points.columns:
+        points = points.where(extract.contains("im", *im))
+    return points.join(keys.select(F.col("index").alias(key), "time"), key) if with_time and keys is not None else points
 
 
 # --- numpress, as published --------------------------------------------------------------------------
@@ -85,41 +195,47 @@ def extract_from_chunks(chunks: DataFrame, lo: float, hi: float, key: str = "ind
 
 def _half_bytes(values: np.ndarray) -> bytes:
     """Integers as half-bytes: a count of leading zero (0-8) or one (9-16) half-bytes, then the others, lowest first."""
-    out: list[int] = []
-    for v in values.astype(np.int64):
-        u = int(v) & 0xFFFFFFFF
-        parts = [(u >> (4 * i)) & 0xF for i in range(8)]
-        if u >> 28 == 0:
-            lead = next((i for i in range(8) if parts[7 - i] != 0), 8)
-            out += [lead, *parts[: 8 - lead]]
-        elif u >> 28 == 0xF:
-            lead = next((i for i in range(8) if parts[7 - i] != 0xF), 7)
-            lead = min(lead, 7)
-            out += [lead + 8, *parts[: 8 - lead]]
-        else:
-            out += [0, *parts]
-    if len(out) % 2:
-        out.append(0)  # filler: a count of no zeros needs eight half-bytes behind it, so at the very end it is none
-    a = np.array(out, dtype=np.uint8)
-    return ((a[0::2] << 4) | a[1::2]).tobytes()
+    u = np.asarray(values).astype(np.int64).astype(np.uint32)
+    if not len(u):
+        return b""
+    zeros = sum((u.astype(np.uint64) >> np.uint64(32 - 4 * j)) == 0 for j in range(1, 9)).astype(np.int64)
+    ones = sum((u.astype(np.uint64) >> np.uint64(32 - 4 * j)) == (1 << 4 * j) - 1 for j in range(1, 8)).astype(np.int64)
+    kept = 8 - np.maximum(zeros, ones)
+    size = 1 + kept
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()) + 1, dtype=np.uint8)
+    out[at] = np.where(ones > 0, ones + 8, zeros)
+    for k in range(8):
+        some = kept > k
+        out[at[some] + 1 + k] = (u[some] >> np.uint32(4 * k)) & np.uint32(0xF)
+    # the filler of an odd count: a count of no zeros needs eight half-bytes behind it, so at the very end it is none
+    out = out[: len(out) - len(out) % 2]
+    return ((out[0::2] << 4) | out[1::2]).tobytes()
 
 
 def _from_half_bytes(data: bytes) -> np.ndarray:
+    """The integers; raises ValueError where the last one is cut off."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    halves = np.stack([raw >> 4, raw & 0xF], axis=1).ravel().tolist()
-    out, i, n = [], 0, len(halves)
-    while i < n:
-        head = halves[i]
-        if i == n - 1 and head == 0:
-            break
-        i += 1
-        lead, fill = (head, 0) if head <= 8 else (head - 8, 0xF)
-        u = 0
-        for k in range(8):
-            u |= (halves[i + k] if k < 8 - lead else fill) << (4 * k)
-        i += 8 - lead
-        out.append(u - (1 << 32) if u >> 31 else u)
-    return np.array(out, dtype=np.int64)
+    halves = np.stack([raw >> 4, raw & 0xF], axis=1).ravel()
+    n = len(halves)
+    lead = np.where(halves <= 8, halves, halves - 8).astype(np.int64)
+    follows = (np.arange(n) + 9 - lead).tolist()
+    heads, i = [], 0
+    while i < n:  # where a number begins only the one before it tells
+        heads.append(i)
+        i = follows[i]
+    if heads and heads[-1] == n - 1 and halves[-1] == 0:
+        heads.pop()
+    elif i != n:
+        raise ValueError("the last number is cut off")
+    at = np.array(heads, dtype=np.int64)
+    kept = 8 - lead[at]
+    u = np.where(halves[at] > 8, np.uint64(0xFFFFFFFF), np.uint64(0))
+    for k in range(8):
+        some = kept > k
+        shift = np.uint64(4 * k)
+        u[some] = (u[some] & ~(np.uint64(0xF) << shift)) | (halves[at[some] + 1 + k].astype(np.uint64) << shift)
+    return (u & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).astype(np.int64)
 
 
 def linear_encode(values: np.ndarray) -> bytes:
@@ -140,16 +256,18 @@ def linear_encode(values: np.ndarray) -> bytes:
 def linear_decode(data: bytes) -> np.ndarray:
     """Decoded values; zeros stand for nulls and come back as NaN."""
     point = np.frombuffer(data[:8], dtype=">f8")[0]
-    ints = np.frombuffer(data[8:16], dtype="<i4").astype(np.int64).tolist()
-    for d in _from_half_bytes(data[16:]).tolist() if len(data) > 16 else []:
-        ints.append(2 * ints[-1] - ints[-2] + d)
-    v = np.array(ints, dtype=float) / point
+    ints = np.frombuffer(data[8:16], dtype="<i4").astype(np.int64)
+    if len(data) > 16:
+        second = _from_half_bytes(data[16:])
+        steps = (ints[1] - ints[0]) + np.cumsum(second)
+        ints = np.concatenate([ints, ints[1] + np.cumsum(steps)])
+    v = ints.astype(float) / point
     return np.where(v == 0, np.nan, v)
 
 
 def slof_encode(values: np.ndarray) -> bytes:
-    """Logarithms as 16-bit fixed point."""
-    logs = np.log1p(np.asarray(values, dtype=float))
+    """Logarithms as 16-bit fixed point; nulls are written as zeros."""
+    logs = np.log1p(np.nan_to_num(np.asarray(values, dtype=float), nan=0.0))
     point = np.floor(0xFFFF / max(float(logs.max()) if len(logs) else 0.0, 1e-9))
     return np.array([point], dtype=">f8").tobytes() + np.floor(logs * point + 0.5).clip(0, 0xFFFF).astype("<u2").tobytes()
 
@@ -159,8 +277,8 @@ def slof_decode(data: bytes) -> np.ndarray:
 
 
 def pic_encode(values: np.ndarray) -> bytes:
-    """Rounded counts as half-bytes."""
-    return _half_bytes(np.floor(np.asarray(values, dtype=float) + 0.5))
+    """Rounded counts as half-bytes; nulls are written as zeros."""
+    return _half_bytes(np.floor(np.nan_to_num(np.asarray(values, dtype=float), nan=0.0) + 0.5))
 
 
 def pic_decode(data: bytes) -> np.ndarray:
@@ -168,21 +286,31 @@ def pic_decode(data: bytes) -> np.ndarray:
 
 
 def _encoder(f):
-    @F.pandas_udf(T.BinaryType())
-    def encode(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda v: None if v is None else f(v))
+    @F.arrow_udf(T.BinaryType())
+    def encode(lists: pa.Array) -> pa.Array:
+        values, at = _lists(lists)
+        there = lists.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array([f(values[a:b]) if t else None for a, b, t in zip(at[:-1], at[1:], there)], pa.binary())
 
     return encode
 
 
 def _decoder(f):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def decode(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else [None if x != x else x for x in f(bytes(b)).tolist()])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def decode(blobs: pa.Array) -> pa.Array:
+        return _as_lists([_or_none(f, b.as_py()) for b in blobs])
 
     return decode
 
 
+def _or_none(f, blob: bytes | None) -> np.ndarray | None:
+    """What a decoder gives, None for no or damaged bytes."""
+    try:
+        return None if blob is None else f(bytes(blob))
+    except (ValueError, IndexError):
+        return None
+
+
 encode_linear, decode_linear = _encoder(linear_encode), _decoder(linear_decode)
 encode_slof, decode_slof = _encoder(slof_encode), _decoder(slof_decode)
 encode_pic, decode_pic = _encoder(pic_encode), _decoder(pic_decode)
@@ -190,35 +318,62 @@ encode_pic, decode_pic = _encoder(pic_encode), _decoder(pic_decode)
 
 # --- auxiliary arrays --------------------------------------------------------------------------------
 
+_CODECS = {NUMPRESS_SLOF: (slof_encode, slof_decode), NUMPRESS_PIC: (pic_encode, pic_decode), NUMPRESS_LINEAR: (linear_encode, linear_decode)}
 
-def decode_array(data, compression: str | None, data_type: str | None) -> list[str]:
-    """The values of an encoded array as text (numbers in full precision); empty where bytes and type don't fit."""
-    raw = bytes(int(b) & 0xFF for b in data) if data is not None else b""
-    if compression in (NUMPRESS_SLOF, NUMPRESS_PIC, NUMPRESS_LINEAR):
-        f = {NUMPRESS_SLOF: slof_decode, NUMPRESS_PIC: pic_decode, NUMPRESS_LINEAR: linear_decode}[compression]
-        try:
-            return [repr(x) for x in f(raw).tolist()]
-        except (ValueError, IndexError):
-            return []
+
+def decode_array(data, compression: str | None, data_type: str | None) -> np.ndarray | list[str] | None:
+    """The values of an encoded array: int64, float64 or a list of texts; None where bytes and type don't fit."""
+    raw = b"" if data is None else np.asarray(data).astype(np.int64).astype(np.uint8).tobytes()
+    if compression in _CODECS:
+        return _or_none(_CODECS[compression][1], raw) if raw else np.zeros(0)
     if compression == ZLIB:
         try:
             raw = zlib.decompress(raw)
         except zlib.error:
-            return []
+            return None
     if data_type == ASCII:
-        return [x.decode("ascii", "replace") for x in raw.strip().split(b"\0") if x]
+        return [part.decode("ascii", "replace") for part in raw.split(b"\0") if part]
     kind = DTYPES.get(data_type or "")
     if kind is None or len(raw) % np.dtype(kind).itemsize:
-        return []
-    return [repr(x) for x in np.frombuffer(raw, dtype=kind).tolist()]
+        return None
+    return np.frombuffer(raw, dtype=kind).astype(np.int64 if kind[1] == "i" else np.float64)
+
 
+def encode_array(values, compression: str | None, data_type: str) -> bytes:
+    """The bytes of an array: numbers in their type or by Numpress, texts behind each other with a NUL each."""
+    if compression in _CODECS:
+        return _CODECS[compression][0](np.asarray(values, dtype=float))
+    raw = b"".join(str(v).encode("ascii", "replace") + b"\0" for v in values) if data_type == ASCII else np.asarray(values).astype(DTYPES[data_type]).tobytes()
+    return zlib.compress(raw) if compression == ZLIB else raw
+
+
+_TYPED = T.StructType([T.StructField("integers", T.ArrayType(T.LongType())), T.StructField("floats", T.ArrayType(T.DoubleType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_TYPED)
+def decode_auxiliary(data: pd.Series, compression: pd.Series, data_type: pd.Series) -> pd.DataFrame:
+    """Typed: one of the three is filled, none where the bytes can't be read."""
+    out: dict[str, list] = {"integers": [], "floats": [], "texts": []}
+    for d, c, t in zip(data, compression, data_type):
+        v = decode_array(d, c, t)
+        kind = None if v is None else "texts" if isinstance(v, list) else "integers" if v.dtype.kind == "i" else "floats"
+        for name, column in out.items():
+            column.append(v if name == kind else None)
+    return pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in out.items()})
+
+
+def encode_auxiliary(values: Column, compression: str | None, data_type: str) -> Column:
+    """A list of numbers or texts as the byte payload of an auxiliary array."""
+
+    @F.pandas_udf(T.ArrayType(T.ShortType()))
+    def encode(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: None if v is None else np.frombuffer(encode_array(v, compression, data_type), dtype=np.uint8).astype(np.int16))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decode_auxiliary(data: pd.Series, compression: pd.Series, data_type: pd.Series) -> pd.Series:
-    return pd.Series([decode_array(d, c, t) for d, c, t in zip(data, compression, data_type)], dtype=object)
+    return encode(values)
 
 
 def auxiliary_values(spectrum: DataFrame, key: str = "spectrum_key") -> DataFrame:
-    """(key, place, name, values) of the auxiliary arrays; spectra that count none are not opened."""
+    """(key, place, name, integers, floats, texts) of the auxiliary arrays; spectra that count none are not opened."""
     some = spectrum.where("number_of_auxiliary_arrays > 0").select(key, F.posexplode("auxiliary_arrays").alias("place", "a")).where("a is not null")
-    return some.select(key, "place", F.col("a.name.name").alias("name"), decode_auxiliary("a.data", "a.compression", "a.data_type").alias("values"))
+    told = some.withColumn("v", decode_auxiliary("a.data", "a.compression", "a.data_type"))
+    return told.select(key, "place", F.col("a.name.name").alias("name"), "v.integers", "v.floats", "v.texts")

@@ -8,6 +8,8 @@ Spark only if its measured size allows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,12 +52,26 @@ def key_bounds(keys: DataFrame) -> tuple[int, int] | None:
     return None if lo is None else (lo, hi)
 
 
-def extract_points(points: DataFrame, meta: DataFrame, time: Range | None = None, mz: Range | None = None, im: Range | None = None, ms_level: Range | None = None, prune: bool = False, with_time: bool = False) -> DataFrame:
+def extract_points(
+    points: DataFrame, meta: DataFrame, time: Range | None = None, mz: Range | None = None, im: Range | None = None, ms_level: Range | None = None, prune: bool = False, with_time: bool = False, fill: str = "drop",
+    model: DataFrame | None = None, pos: str = "pos",
+) -> DataFrame:
     """Points of a slab of time, m/z, ion mobility and MS level.
 
     prune: look up the key range first and give it to the scan as literals (one small job more). An ion
-    mobility range is ignored where the points have none.
+    mobility range is ignored where the points have none. fill: "drop" leaves out points whose m/z is null;
+    "interpolate" fills them first, from the points around them in the order of `pos` and the entity's
+    spacing model, and shows their intensity as zero, so whole entities are read before the m/z range applies.
     """
+    if fill == "interpolate":
+        from slabworks.operators.chunks import fill_coordinates
+
+        whole = fill_coordinates(extract_points(points, meta, time, None, None, ms_level, prune, with_time), "index", pos, "mz", model)
+        whole = whole.withColumn("intensity", F.coalesce(F.col("intensity"), F.lit(0).cast(points.schema["intensity"].dataType)))
+        for name, bounds in (("mz", mz), ("im", im)):
+            if bounds and name in points.columns:
+                whole = whole.where(contains(name, *bounds))
+        return whole
     keep = F.lit(True)
     if mz:
         keep = keep & contains("mz", *mz)
@@ -106,8 +122,11 @@ def slice_by_index(rows: DataFrame, start: int | None = None, stop: int | None =
 
 
 def nearest_time(meta: DataFrame, at: float) -> DataFrame:
-    """The entity nearest in time, the lowest index of several."""
-    near = F.struct(F.abs(F.col("time") - F.lit(at)), F.col("index"))
+    """The entity nearest in time, the lowest index of several; of infinite times the first or last in time."""
+    if math.isinf(at):
+        near = F.struct(F.col("time") if at < 0 else -F.col("time"), F.col("index"))
+    else:
+        near = F.struct(F.abs(F.col("time") - F.lit(at)), F.col("index"))
     return meta.where("time is not null").agg(F.min_by("index", near).alias("index"), F.min_by("time", near).alias("time")).where("index is not null")
 
 
@@ -135,12 +154,25 @@ def nearest_times(meta: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def time_slice(meta: DataFrame, start: float, stop: float) -> DataFrame:
-    """Entities from the one nearest to start to the one nearest to stop, both included."""
-    lo, hi = nearest_time(meta, start).select(F.col("index").alias("lo")), nearest_time(meta, stop).select(F.col("index").alias("hi"))
-    bounds = lo.join(hi)  # one row each
-    return meta.join(F.broadcast(bounds), contains("index") & (F.col("index") >= F.col("lo")) & (F.col("index") <= F.col("hi"))).drop("lo", "hi")
+    """Entities from the one nearest to start to the one nearest to stop, both included.
+
+    The two are looked up first, so the scan gets their indexes as literals.
+    """
+    first = [nearest_time(meta, at).first() for at in (start, stop)]
+    if None in first:
+        return meta.where(F.lit(False))
+    return meta.where(contains("index", first[0]["index"], first[1]["index"]))
+
+
+def start_from(rows: DataFrame, meta: DataFrame, index: int | None = None, id: str | None = None, time: float | None = None) -> DataFrame:
+    """Rows from an entity on, named by its index, its id or the time it is nearest to; none if it isn't there."""
+    if index is None:
+        at = (meta.where(F.col("id") == id).agg(F.min("index").alias("index")) if id is not None else nearest_time(meta, 0.0 if time is None else time)).first()
+        index = None if at is None else at["index"]
+    return rows.where(F.lit(False) if index is None else F.col("index") >= index)
 
 
 def by_id(meta: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
     """Entities by their id."""
     return meta.join(ids, "id", "left_semi") if isinstance(ids, DataFrame) else meta.where(F.col("id").isin(ids))
+

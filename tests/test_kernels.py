@@ -120,11 +120,90 @@ def test_auxiliary_arrays():
     import zlib
 
     raw = np.array([1.5, -2.0]).astype("<f8").tobytes()
-    assert C.decode_array(list(raw), "MS:1000576", "MS:1000523") == ["1.5", "-2.0"]
-    assert C.decode_array(list(zlib.compress(raw)), "MS:1000574", "MS:1000523") == ["1.5", "-2.0"]
-    assert C.decode_array([b - 256 if b > 127 else b for b in raw], "MS:1000576", "MS:1000523") == ["1.5", "-2.0"]
-    assert C.decode_array(list(b"ab\0c"), None, "MS:1001479") == ["ab", "c"]
-    assert C.decode_array(None, None, None) == [] and C.decode_array([1, 2, 3], "MS:1000576", "MS:1000523") == [] and C.decode_array([1], "MS:1000574", "MS:1000523") == []
+    of = lambda *a: None if (v := C.decode_array(*a)) is None else list(v)
+    assert of(list(raw), "MS:1000576", "MS:1000523") == [1.5, -2.0]
+    assert of(list(zlib.compress(raw)), "MS:1000574", "MS:1000523") == [1.5, -2.0]
+    assert of([b - 256 if b > 127 else b for b in raw], "MS:1000576", "MS:1000523") == [1.5, -2.0]
+    assert of(list(b"ab\0c"), None, "MS:1001479") == ["ab", "c"]
+    assert of(None, "MS:1000576", "MS:1000523") == [] and of([1, 2, 3], "MS:1000576", "MS:1000523") is None and of([1], "MS:1000574", "MS:1000523") is None and of([1], None, None) is None
+
+
+@pytest.mark.parametrize("compression", ["MS:1000576", "MS:1000574"])
+@pytest.mark.parametrize("data_type, values", [("MS:1000519", [1, -2, 2**31 - 1]), ("MS:1000522", [2**62 + 1, -5]), ("MS:1000521", [1.5, -0.25]), ("MS:1000523", [1e300, 0.1]), ("MS:1001479", ["a", "bc d"])])
+def test_auxiliary_round_trip(compression, data_type, values):
+    assert list(C.decode_array(list(C.encode_array(values, compression, data_type)), compression, data_type)) == values
+
+
+def test_auxiliary_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.5]), (2, []), (3, None)], "k int, v array<double>")
+    coded = df.select("k", C.encode_auxiliary(F.col("v"), "MS:1000574", "MS:1000523").alias("d"))
+    got = {r.k: r.v for r in coded.select("k", C.decode_auxiliary("d", F.lit("MS:1000574"), F.lit("MS:1000523")).alias("v")).collect()}
+    assert got[1].floats == [1.0, 2.5] and got[1].integers is None and got[2].floats == []
+    assert {r.k: r.v.integers for r in df.where("k = 1").select("k", C.decode_auxiliary(F.expr("array(1S, 0S, 0S, 0S, -1S, -1S, -1S, -1S)"), F.lit(None).cast("string"), F.lit("MS:1000519")).alias("v")).collect()} == {1: [1, -1]}
+
+
+def test_long_chunks_are_linear(spark):
+    """32,000 points in one chunk: appending to a copy for every step took seconds."""
+    import time
+
+    pts = spark.range(32000).select(F.lit(1).cast("bigint").alias("index"), F.col("id").alias("pos"), (F.col("id") / 64.0).alias("mz"), F.when(F.col("id") % 9 > 0, F.col("id").cast("double")).alias("intensity"))
+    for encoding in (C.DELTA, C.NUMPRESS_LINEAR):
+        coded = C.encode_chunks(pts, 1e6, encoding, transforms={"intensity": C.NUMPRESS_PIC}).cache()
+        assert coded.count() == 1
+        began = time.time()
+        got = C.decode_chunks(coded).agg(F.count("mz").alias("n"), F.sum("mz").alias("s"), F.sum("intensity").alias("i")).first()
+        assert time.time() - began < 20 and got.n >= 31999 and got.s == pytest.approx(sum(range(32000)) / 64, rel=1e-6) and got.i == sum(i for i in range(32000) if i % 9)
+
+
+@pytest.mark.parametrize("transform, near", [(C.NUMPRESS_SLOF, 1e-3), (C.NUMPRESS_PIC, 0.5)])
+def test_secondary_lists_in_numpress(spark, transform, near):
+    rows = [(1, i, 100.0 + i, float(i * 7 % 50)) for i in range(60)]
+    coded = C.encode_chunks(spark.createDataFrame(rows, "index bigint, pos bigint, mz double, intensity double"), 20.0, transforms={"intensity": transform})
+    assert "intensity" not in coded.columns
+    back = C.decode_chunks(coded).orderBy("mz").collect()
+    assert [r.mz for r in back] == pytest.approx([r[2] for r in rows]) and all(abs(r.intensity - x[3]) <= near * (1 + x[3]) for r, x in zip(back, rows))
+
+
+def profile(n=400):
+    """Peaks between long stretches of zeros, two of them alone in their stretch."""
+    out = []
+    for i in range(n):
+        out.append((200 + i * 0.01 + i * i * 1e-6, float((i % 40 > 25) * (i % 7 + 1)) if i != 100 else 9.0))
+    return [(1, i, mz, v) for i, (mz, v) in enumerate(out)] + [(2, i, mz + 1, 0.0) for i, (mz, v) in enumerate(out[:50])]
+
+
+def test_write_path_and_filled_reading(spark):
+    rows = profile()
+    pts = spark.createDataFrame(rows, "index bigint, pos bigint, mz double, intensity double")
+    model = spark.createDataFrame([(1, [0.0105])], "index bigint, mz_delta_model array<double>")
+    coded = C.encode_profile(pts, 1.0)
+    read = C.read_chunks(coded, model=model).orderBy("chunk_id", "place").where("index = 1").collect()
+    raw = [r for r in C.decode_chunks(coded).where("index = 1").collect() if r.mz is None]
+    assert len(raw) > 10 and all(r.mz is not None and r.intensity is not None for r in read)
+    assert [r.mz for r in read] == sorted(r.mz for r in read)
+    kept = {round(mz, 6): v for k, _, mz, v in rows if k == 1 and v}
+    assert {round(r.mz, 6): r.intensity for r in read if r.intensity} == kept
+    truth = np.array([r[2] for r in rows if r[0] == 1])
+    assert max(np.abs(truth - r.mz).min() for r in read) < 5e-3  # filled ones lie near where they were
+    other = C.encode_profile(pts, 1.0, is_profile=False)
+    assert {r.chunk_encoding for r in other.collect()} == {C.PLAIN} and C.decode_chunks(other).count() == len(rows)
+    one = C.entity_from_chunks(coded, 1, model=model).collect()
+    assert [r.mz for r in one] == [r.mz for r in read]
+
+
+def test_both_layouts_give_the_same_slab(spark):
+    pts = spark.createDataFrame(profile(), "index bigint, pos bigint, mz double, intensity double")
+    meta = spark.createDataFrame([(1, 5.0, 1), (2, 50.0, 1)], "index bigint, time double, ms_level int")
+    model = spark.createDataFrame([(1, [0.0105]), (2, [0.0105])], "index bigint, mz_delta_model array<double>")
+    marked = signal.null_mark(signal.strip_zero_runs(pts, "index", "pos", "intensity"), "index", "pos", "intensity", ["mz"])
+    coded = C.encode_chunks(marked, 1.0)
+    slab = lambda df: sorted((r["index"], round(r.mz, 9), r.intensity) for r in df.collect())
+    a = slab(extract.extract_points(marked, meta, (0, 10), (200.5, 203.0), fill="interpolate", model=model))
+    b = slab(C.extract_from_chunks(coded, 200.5, 203.0, meta=meta, time=(0, 10), fill=C.NULL_INTERPOLATE, model=model))
+    assert a == b and len(a) > len(slab(extract.extract_points(marked, meta, (0, 10), (200.5, 203.0)))) > 0
+    assert slab(C.extract_from_chunks(coded, 200.5, 203.0, meta=meta, time=(0, 10))) == slab(extract.extract_points(marked, meta, (0, 10), (200.5, 203.0)))
+    timed = C.extract_from_chunks(coded, 200.5, 203.0, meta=meta, time=(0, 10), with_time=True)
+    assert {r.time for r in timed.collect()} == {5.0}
 
 
 def test_spacing_model():

@@ -62,9 +62,8 @@ def _field_of(forms: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in forms.items() for x in pair]), key_form(key)), key)
 
 
-def json_type(value: Column) -> Column:
-    """integer, fraction, string, boolean, array or object; null for JSON null."""
-    s = F.schema_of_variant(value)
+def json_type(s: Column) -> Column:
+    """integer, fraction, string, boolean, array or object from a variant's schema; null for JSON null."""
     return (
         F.when(s == "BIGINT", "integer")
         .when(s == "STRING", "string")
@@ -77,18 +76,21 @@ def json_type(value: Column) -> Column:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Well-formed records with ``members``: a map from key to variant."""
-    return lines.withColumn("members", F.try_variant_get(F.try_parse_json("raw_json"), "$", "map<string,variant>")).where("members is not null")
+    """Lines with ``members``: a map from key to variant, null where a line is no well-formed record.
+
+    They aren't filtered here: a filter on members would be pushed to the scan and parse each line again.
+    """
+    return lines.withColumn("members", F.try_variant_get(F.try_parse_json("raw_json"), "$", "map<string,variant>"))
 
 
 PLACE = ["feed_id", "file_seq", "file_id", "line_no"]
 
 
 def ingest_records(lines: DataFrame, target: dict[str, str], approved: dict[str, str], replay: bool = True) -> DataFrame:
-    """Every well-formed record with its place, typed target fields, ``_rescued`` and ``_seen``; deliveries aren't merged.
+    """Every line with its place, typed target fields, ``_rescued`` and ``_seen``; deliveries aren't merged.
 
-    _seen: an array of (field, key, json_type) of all its keys. replay=False leaves approved spellings in
-    ``_rescued`` too, as a first delivery finds them.
+    _seen: an array of (key, schema) of all the record's keys, null where a line is no well-formed record.
+    replay=False leaves approved spellings in ``_rescued`` too, as a first delivery finds them.
     """
     forms = approved_forms(target, approved)
     rows = parsed(lines)
@@ -101,8 +103,7 @@ def ingest_records(lines: DataFrame, target: dict[str, str], approved: dict[str,
         exact = F.coalesce(F.try_variant_get(value, "$", to), F.try_variant_get(value, "$", "string").try_cast(to))
         return exact if to == "double" else F.when(number.isNull() | (number == F.floor(number)), F.coalesce(exact, number.try_cast(to)))
 
-    # each key's field and JSON type, in one walk over the record
-    seen = F.transform(F.map_entries("members"), lambda e: F.struct(_field_of(forms, e["key"]).alias("field"), e["key"].alias("key"), json_type(e["value"]).alias("json_type")))
+    seen = F.transform(F.map_entries("members"), lambda e: F.struct(e["key"].alias("key"), F.schema_of_variant(e["value"]).alias("schema")))
     typed = rows.select(*keep, "members", seen.alias("_seen"), *[cast(F.try_element_at("members", F.lit(f)), t).alias(f"t_{f}") for f, t in target.items()])
     unmet = lambda k, prefix: F.coalesce(*[F.when(k == f, F.col(f"{prefix}_{f}").isNull()) for f in target], F.lit(False))
     known = lambda k: k.isin(list(target)) if target else F.lit(False)
@@ -130,7 +131,7 @@ def ingest(lines: DataFrame, kind: str, target: dict[str, str] | None = None, ap
     """
     target = TARGETS.get(kind, {}) if target is None else target
     approved = APPROVED.get(kind, {}) if approved is None else approved
-    rows = ingest_records(lines.where(F.col("record_kind") == kind), target, approved, replay).drop("record_kind", "_seen")
+    rows = ingest_records(lines.where(F.col("record_kind") == kind), target, approved, replay).where("_seen is not null").drop("record_kind", "_seen")
     first = F.min(F.struct("loaded_at", *[c for c in rows.columns if c not in ("file_id", "line_no", "loaded_at")])).alias("r")
     return rows.groupBy("file_id", "line_no").agg(first).select(*[f"r.{c}" if c not in ("file_id", "line_no") else c for c in rows.columns])
 
@@ -138,9 +139,9 @@ def ingest(lines: DataFrame, kind: str, target: dict[str, str] | None = None, ap
 def observed_fields(lines: DataFrame, targets: dict[str, dict[str, str]] | None = None, approved: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(record_kind, feed_id, file_seq, file_id, field_name, keys, types) of every file, from what ingestion saw.
 
-    The triples of field, key and type are pre-aggregated per file before the shuffle, so a feed or file with
-    a third of all lines leaves as many rows as it has fields, and no text is shuffled: lines delivered
-    twice add nothing new.
+    Keys and schemas are pre-aggregated per file before the shuffle, so a feed or file with a third of all
+    lines leaves as many rows as it has keys, and no text is shuffled: lines delivered twice add nothing new.
+    What field a key is of and what type its schema is are read once per file and not on every line.
     """
     targets, approved = targets or TARGETS, approved or APPROVED
     file = ["record_kind", "feed_id", "file_seq", "file_id"]
@@ -148,9 +149,10 @@ def observed_fields(lines: DataFrame, targets: dict[str, dict[str, str]] | None
     kinds.append((lines.where(~F.col("record_kind").isin(list(targets))), {}, {}))
     seen = None
     for some, target, other in kinds:
-        one = ingest_records(some, target, other).select(*file, F.explode("_seen").alias("s")).select(*file, "s.field", "s.key", "s.json_type")
+        keys = ingest_records(some, target, other).select(*file, F.explode_outer("_seen").alias("s")).select(*file, "s.key", "s.schema").where("key is not null").distinct()
+        one = keys.select(*file, _field_of(approved_forms(target, other), F.col("key")).alias("field_name"), "key", json_type(F.col("schema")).alias("json_type"))
         seen = one if seen is None else seen.unionByName(one)
-    return seen.distinct().groupBy(*file, F.col("field").alias("field_name")).agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set("json_type")).alias("types"))
+    return seen.groupBy(*file, "field_name").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set("json_type")).alias("types"))
 
 
 def schema_changes(lines: DataFrame, targets: dict[str, dict[str, str]] | None = None, approved: dict[str, dict[str, str]] | None = None) -> DataFrame:

@@ -116,6 +116,40 @@ def split_mask(lo: int, hi: int) -> tuple[tuple[int, int], tuple[int, int]] | No
     return None if half < 2 else ((lo, lo + half), (lo + half + 1, hi))
 
 
+def by_index(rows: DataFrame, index: int | list[int]) -> DataFrame:
+    """Rows of one entity, or of a few."""
+    return rows.where(F.col("index") == index if isinstance(index, int) else F.col("index").isin(index))
+
+
+def either(rows: DataFrame, *selections: Column) -> DataFrame:
+    """Rows that any of the selections has; a selection that is null has none."""
+    test = F.lit(False)
+    for s in selections:
+        test = test | F.coalesce(s, F.lit(False))
+    return rows.where(test)
+
+
+CORE = ("index", "mz", "intensity", "im")
+
+
+def core_columns(points: DataFrame) -> DataFrame:
+    """What extraction needs of points: key, coordinate, intensity and the mobility if there is one."""
+    return points.select(*[c for c in CORE if c in points.columns])
+
+
+def with_signal(meta: DataFrame, points: DataFrame) -> DataFrame:
+    """Entities with their points; entities without points stay, as in a sequential scan."""
+    return meta.join(core_columns(points), "index", "left")
+
+
+def in_sequence(meta: DataFrame, points: DataFrame, pos: str | None = None) -> DataFrame:
+    """The sequential scan: every entity with its points in order, from range to range of the index; each
+    partition holds whole entities, which `foreachPartition` or `toLocalIterator` meet one after the other."""
+    order = ["index", pos or "mz"]
+    rows = meta.join(points, "index", "left")
+    return rows.repartitionByRange("index").sortWithinPartitions(*order)
+
+
 def slice_by_index(rows: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
     """Keys from start up to, not including, stop."""
     return rows.where(contains("index", 0 if start is None else start, None if stop is None else stop - 1))

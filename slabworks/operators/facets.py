@@ -27,15 +27,32 @@ def any_facet(packed: DataFrame) -> DataFrame:
     return packed.where(test)
 
 
-def pack(facets: dict[str, DataFrame]) -> DataFrame:
-    """A packed table: row i of each facet side by side, whatever it belongs to; facets are numbered by their key.
+def any_facet_equals(packed: DataFrame, index: int) -> DataFrame:
+    """Rows in which some facet belongs to an entity: the predicate of a single lookup, pushed to the scan."""
+    keys = [F.col(f"{f}.{k}") == index for f, ks in FACET_KEYS.items() if f in packed.columns for k in ks if k in packed.schema[f].dataType.names]
+    test = F.lit(False)
+    for k in keys:
+        test = test | k
+    return packed.where(test)
 
-    The numbering is for writing small metadata tables; large ones stay separate tables.
-    """
+
+def entity(packed: DataFrame, index: int) -> dict[str, DataFrame]:
+    """Everything of one entity: its row of each facet, as tables of their own."""
+    near = any_facet_equals(packed, index)
+    out = {}
+    for name in FACET_KEYS:
+        if name in packed.columns:
+            own = facet(near, name)
+            out[name] = own.where(F.col("index" if "index" in own.columns and FACET_KEYS[name] == ["index"] else "source_index") == index)
+    return out
+
+
+def pack(facets: dict[str, DataFrame]) -> DataFrame:
+    """A packed table: row i of each facet side by side, whatever it belongs to; facets are numbered by their key."""
     out = None
     for name, df in facets.items():
         key = next(k for k in FACET_KEYS[name] if k in df.columns)
-        numbered = df.select(F.row_number().over(W.orderBy(key)).alias("_row"), F.struct(*df.columns).alias(name))
+        numbered = dense_index(df.withColumn("_key", F.col(key)), ["_key"], "_row").select("_row", F.struct(*df.columns).alias(name))
         out = numbered if out is None else out.join(numbered, "_row", "full")
     return out.drop("_row")
 
@@ -62,11 +79,26 @@ def precursors_with_ions(precursor: DataFrame, ion: DataFrame, fallback: bool =
     return exact.join(last, "source_index", "left").withColumn("precursor", F.coalesce("precursor", "last_precursor")).drop("last_precursor")
 
 
-def resolve_precursors(precursor: DataFrame, meta: DataFrame) -> DataFrame:
-    """precursor_index from precursor_id: the last spectrum of that id up to the source itself, null if there is none."""
-    ids = meta.select(F.col("id").alias("precursor_id"), F.col("index").alias("_at"))
-    hits = precursor.drop("precursor_index").join(ids, "precursor_id").where("_at <= source_index").groupBy("source_index", "precursor_id").agg(F.max("_at").alias("precursor_index"))
-    return precursor.drop("precursor_index").join(hits, ["source_index", "precursor_id"], "left")
+def resolve_precursors(precursor: DataFrame, meta: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """precursor_index from precursor_id: the last spectrum of that id up to the source itself, null if there is none.
+
+    run: columns both tables have within which ids hold. Spectra and references of an id are put into one
+    order, in which each reference takes the last spectrum before it: no pairs are built.
+    """
+    rest = [c for c in precursor.columns if c not in ("precursor_index", "precursor_id", "source_index", *run)]
+    none = F.lit(None).cast("bigint")
+    at = meta.select(*run, F.col("id").alias("precursor_id"), F.col("index").cast("bigint").alias("_order"), F.col("index").cast("bigint").alias("_hit"), F.lit(None).cast(precursor.select(F.struct("source_index", *rest)).schema[0].dataType).alias("_row")).where("precursor_id is not null")
+    refs = precursor.select(*run, "precursor_id", F.col("source_index").cast("bigint").alias("_order"), none.alias("_hit"), F.struct("source_index", *rest).alias("_row"))
+    upto = W.partitionBy(*run, "precursor_id").orderBy("_order", F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    told = at.unionByName(refs).withColumn("_hit", F.last("_hit", ignorenulls=True).over(upto)).where("_row is not null")
+    found = F.when(F.col("precursor_id").isNotNull() & F.col("_order").isNotNull(), F.col("_hit")).alias("precursor_index")
+    return told.select(*run, "_row.source_index", "precursor_id", *[f"_row.{c}" for c in rest], found)
+
+
+def precursors_reversed(precursor: DataFrame, columns: list[str], name: str = "precursors") -> DataFrame:
+    """(source_index, precursors): each source's precursors from the highest index down, so the lowest comes last; a null index is the lowest."""
+    order = F.coalesce("precursor_index", F.lit(-1)).alias("order")
+    return precursor.groupBy("source_index").agg(F.sort_array(F.collect_list(F.struct(order, *columns)), asc=False).alias(name))
 
 
 def pair_by_position(a: DataFrame, b: DataFrame, key: str, order_a: list[str], order_b: list[str]) -> DataFrame:
@@ -105,3 +137,34 @@ def parameter(params: Column, accession: str, slot: str) -> Column:
 def without_parameters(params: Column, accessions: list[str]) -> Column:
     """A parameter list without those that became columns."""
     return F.filter(params, lambda p: p["accession"].isNull() | ~p["accession"].isin(accessions))
+
+
+def columns_from_parameters(df: DataFrame, params: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Parameters promoted to columns: name -> (accession, slot); they leave the list."""
+    told = df.withColumns({name: parameter(F.col(params), accession, slot) for name, (accession, slot) in wanted.items()})
+    return told.withColumn(params, without_parameters(F.col(params), [a for a, _ in wanted.values()]))
+
+
+def unknown_columns_to_parameters(df: DataFrame, params: str, known: list[str]) -> DataFrame:
+    """Columns that aren't known become parameters of their row and go: their accession, name and unit come from
+    the column's name, the unit also from a column ``<name>_unit`` beside it, which is no parameter of its own."""
+    from slabworks.functions.cv import parse_column_name
+
+    units = {c for c in df.columns if c.endswith("_unit") and c[: -len("_unit")] in df.columns}
+    slots = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "float", "double": "float", "string": "string", "boolean": "boolean"}
+    taken = [f.name for f in df.schema.fields if f.name not in known and f.name != params and f.name not in units and f.dataType.simpleString() in slots]
+    out = df
+    for c in taken:
+        told = parse_column_name(c)
+        unit = F.col(f"{c}_unit") if f"{c}_unit" in units else F.lit(told.unit)
+        out = out.withColumn(params, with_parameter(F.col(params), F.col(c), slots[df.schema[c].dataType.simpleString()], told.accession, told.name, unit))
+    return out.drop(*taken, *[u for u in units if u[: -len("_unit")] in taken])
+
+
+def normalised_parameters(params: Column) -> Column:
+    """Each parameter with its value as text, its accession and unit as CURIEs; null elements go."""
+    from slabworks.functions.params import canonical_curie, value_text
+
+    curie = lambda c: F.coalesce(canonical_curie(c), c)
+    some = F.filter(params, lambda p: p.isNotNull())
+    return F.transform(some, lambda p: F.struct(value_text(p["value"]).alias("value"), curie(p["accession"]).alias("accession"), p["name"].alias("name"), curie(p["unit"]).alias("unit")))

@@ -48,6 +48,11 @@ def null_mark(df: DataFrame, key: str, pos: str, x: str, also: list[str]) -> Dat
     return marked.withColumns({c: F.when(~F.col("_pair"), F.col(c)) for c in [x, *also]}).drop("_pair")
 
 
+def nulls_as_zero(df: DataFrame, *columns: str) -> DataFrame:
+    """What the read of an entity gives for null values other than coordinates."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns})
+
+
 def deltas(df: DataFrame, key: str, pos: str, x: str, name: str = "delta") -> DataFrame:
     return df.withColumn(name, F.col(x) - F.lag(x).over(in_order(key, pos)))
 

@@ -21,6 +21,21 @@ def trace(meta: DataFrame, measure: str) -> DataFrame:
     return meta.where(told("time") & told(measure)).select("index", "time", F.col(measure).alias("intensity"))
 
 
+def totals(points: DataFrame) -> DataFrame:
+    """How many points and entities there are."""
+    return points.agg(F.count("*").alias("n_points"), F.countDistinct("index").alias("n_entities"))
+
+
+def counts_by(df: DataFrame, column: str, name: str, key: str | None = None) -> DataFrame:
+    """(name, n) per value of a column: rows, or different keys."""
+    return df.groupBy(F.col(column).alias(name)).agg((F.count("*") if key is None else F.countDistinct(key)).alias("n"))
+
+
+def filled_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many rows have a value in each column: one aggregate."""
+    return df.agg(*[F.count(c).alias(c) for c in columns])
+
+
 def error_statistics(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Count, mean, deviation, median and most of the absolute differences of two columns."""
     e = F.abs(F.col(a) - F.col(b))

@@ -106,7 +106,7 @@ def key_set_bounds(spark, d):
 
 @query(f"WITH {POINTS} SELECT * FROM points WHERE index = 77")
 def index_equals(spark, d):
-    return points(spark, d).where("index = 77")
+    return extract.by_index(points(spark, d), 77)
 
 
 @query(f"WITH {POINTS} SELECT * FROM points WHERE index >= 100 AND index < 400")
@@ -132,7 +132,7 @@ def mask_intersect(spark, d):
 
 @query(f"WITH {META} SELECT * FROM meta WHERE ms_level = 1 OR time < 100")
 def selection_union(spark, d):
-    return meta(spark, d).where("ms_level = 1 or time < 100")
+    return extract.either(meta(spark, d), F.col("ms_level") == 1, F.col("time") < 100)
 
 
 @query(f"WITH {POINTS} SELECT * FROM points WHERE index < 300 UNION ALL SELECT * FROM points WHERE index >= 300 AND index < 600")
@@ -174,6 +174,18 @@ def nearest_times(spark, d):
     return extract.nearest_times(meta(spark, d), asked)
 
 
+@query(f"WITH {META} SELECT index, time FROM meta ORDER BY time DESC, index LIMIT 1")
+def nearest_time_at_the_end(spark, d):
+    """An infinite time is nearest to the last entity."""
+    return extract.nearest_time(meta(spark, d), float("inf"))
+
+
+@query(f"WITH {META} SELECT * FROM meta WHERE index >= (SELECT index FROM meta ORDER BY abs(time - 1100.2), index LIMIT 1)")
+def start_from_time(spark, d):
+    m = meta(spark, d)
+    return extract.start_from(m, m, time=1100.2)
+
+
 @query(f"""WITH {META}, b AS (SELECT (SELECT index FROM meta ORDER BY abs(time - 100), index LIMIT 1) AS a, (SELECT index FROM meta ORDER BY abs(time - 1100.2), index LIMIT 1) AS z)
 SELECT meta.* FROM meta, b WHERE index BETWEEN a AND z""")
 def time_slice(spark, d):
@@ -182,13 +194,13 @@ def time_slice(spark, d):
 
 @query(f"WITH {POINTS} SELECT index, mz, intensity FROM points")
 def project_core_columns(spark, d):
-    return points(spark, d).select("index", "mz", "intensity")
+    return extract.core_columns(points(spark, d).drop("im"))
 
 
 @query(f"WITH {META}, {POINTS} SELECT m.index, m.time, p.mz, p.intensity FROM meta m LEFT JOIN points p ON p.index = m.index")
 def metadata_with_signal(spark, d):
     """Entities without points stay, as in a sequential scan."""
-    return meta(spark, d).join(points(spark, d).select("index", "mz", "intensity"), "index", "left").select("index", "time", "mz", "intensity")
+    return extract.with_signal(meta(spark, d), points(spark, d)).select("index", "time", "mz", "intensity")
 
 
 # --- summaries, traces and errors --------------------------------------------------------------------
@@ -220,12 +232,12 @@ def xic(spark, d):
 
 @query(f"WITH {POINTS} SELECT count(*) AS n_points, count(DISTINCT index) AS n_entities FROM points")
 def totals_read(spark, d):
-    return points(spark, d).agg(F.count("*").alias("n_points"), F.countDistinct("index").alias("n_entities"))
+    return summaries.totals(points(spark, d))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def status_counts(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return summaries.counts_by(table(spark, d, "orders"), "o_orderstatus", "status")
 
 
 _PAIRS = f"""WITH a AS (SELECT l_orderkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(PLACE)}, l_quantity, l_discount, l_tax) AS place FROM lineitem WHERE l_returnflag = 'A'),
@@ -256,8 +268,7 @@ def error_histogram(spark, d):
 
 @query("SELECT count(total_ion_current) AS total_ion_current, count(ms_level) AS ms_level, count(deleted_at) AS deleted_at, count(parameters) AS parameters FROM spectrum")
 def filled_counts(spark, d):
-    s = table(spark, d, "spectrum")
-    return s.agg(*[F.count(c).alias(c) for c in ("total_ion_current", "ms_level", "deleted_at", "parameters")])
+    return summaries.filled_counts(table(spark, d, "spectrum"), ["total_ion_current", "ms_level", "deleted_at", "parameters"])
 
 
 @query("SELECT * REPLACE (CAST(len(parameters) AS INTEGER) AS parameters, CASE WHEN CAST(intensity AS VARCHAR) <> 'nan' THEN intensity END AS intensity) FROM selected_ion")
@@ -429,6 +440,58 @@ def chunk_extract_marked(spark, d):
     return c.select("index", F.round((F.col("mz") - 1) * 64).cast("bigint").alias("event"), "intensity")
 
 
+def _profile(spark, d):
+    """The signals with an ascending coordinate, in their order."""
+    return signals(spark, d).select("index", "pos", (F.col("pos") / 64.0 + 1).alias("mz"), F.col("x").alias("intensity"))
+
+
+_STRIPPED = f"""WITH {SIGNALS}, {NEAR}, kept AS (SELECT index, pos, x FROM near WHERE NOT coalesce(x = 0 AND (is_first OR coalesce(prev = 0, false)) AND (is_last OR coalesce(nxt = 0, false)), false)),
+n2 AS (SELECT index, pos, x, lag(x) OVER w AS prev, lead(x) OVER w AS nxt FROM kept WINDOW w AS (PARTITION BY index ORDER BY pos)),
+mk AS (SELECT index, pos, x = 0 AND (coalesce(prev = 0, false) OR coalesce(nxt = 0, false)) AS gone, x FROM n2),
+pts AS (SELECT index, pos, CASE WHEN NOT coalesce(gone, false) THEN pos / 64.0 + 1 END AS mz, CASE WHEN NOT coalesce(gone, false) THEN x END AS intensity FROM mk)"""
+_FILLED = _STRIPPED + """, o AS (SELECT *, CASE WHEN mz IS NULL AND lag(mz) OVER w IS NULL AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS o FROM pts WINDOW w AS (PARTITION BY index ORDER BY pos)),
+s AS (SELECT index, pos, mz, intensity, sum(o) OVER (PARTITION BY index ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg FROM o),
+dd AS (SELECT *, mz - lag(mz) OVER (PARTITION BY index, seg ORDER BY pos) AS d FROM s), m1 AS (SELECT index, seg, quantile_cont(d, 0.5) AS m FROM dd GROUP BY ALL),
+m2 AS (SELECT dd.index, dd.seg, quantile_cont(d, 0.5) AS m FROM dd JOIN m1 ON m1.index = dd.index AND m1.seg = dd.seg AND d <= m1.m GROUP BY ALL),
+e AS (SELECT index, seg, arg_min(mz, pos) FILTER (WHERE mz IS NOT NULL) AS lo, arg_max(mz, pos) FILTER (WHERE mz IS NOT NULL) AS hi, min(pos) FILTER (WHERE mz IS NOT NULL) AS lo_pos FROM s GROUP BY ALL),
+f AS (SELECT s.index, s.pos, CASE WHEN s.mz IS NOT NULL THEN s.mz WHEN e.lo_pos IS NULL OR s.pos < e.lo_pos THEN e.lo - coalesce(m2.m, 0.25) ELSE e.hi + coalesce(m2.m, 0.25) END AS mz, coalesce(s.intensity, 0) AS intensity
+  FROM s JOIN e ON e.index = s.index AND e.seg = s.seg LEFT JOIN m2 ON m2.index = s.index AND m2.seg = s.seg)"""
+
+
+@query(_STRIPPED + " SELECT index, row_number() OVER (PARTITION BY index ORDER BY pos) AS n, round(mz, 6) AS mz, intensity FROM pts")
+def chunk_pipeline(spark, d):
+    """The write path and back: zero runs stripped, paired zeros marked, cut, encoded and decoded."""
+    c = chunks.decode_chunks(chunks.encode_profile(_profile(spark, d), WIDTH))
+    n = F.row_number().over(W.partitionBy("index").orderBy("chunk_id", "place")).cast("bigint")
+    return c.select("index", n.alias("n"), F.round("mz", 6).alias("mz"), "intensity")
+
+
+def _spacing(spark, d):
+    """A spacing model for each signal: a constant step."""
+    return signals(spark, d).select("index").distinct().withColumn("mz_delta_model", F.array(F.lit(0.25)))
+
+
+@query(_STRIPPED + " SELECT index, round(mz, 6) AS mz, intensity FROM pts WHERE mz BETWEEN 10 AND 20")
+def extract_fill_drop(spark, d):
+    marked = signal.null_mark(signal.strip_zero_runs(_profile(spark, d), "index", "pos", "intensity"), "index", "pos", "intensity", ["mz"])
+    return extract.extract_points(marked, marked.select("index"), mz=(10.0, 20.0)).select("index", F.round("mz", 6).alias("mz"), "intensity")
+
+
+@query(_FILLED + " SELECT index, round(mz, 6) AS mz, intensity FROM f WHERE mz BETWEEN 10 AND 20")
+def extract_fill_interpolate(spark, d):
+    marked = signal.null_mark(signal.strip_zero_runs(_profile(spark, d), "index", "pos", "intensity"), "index", "pos", "intensity", ["mz"])
+    rows = extract.extract_points(marked, marked.select("index"), mz=(10.0, 20.0), fill="interpolate", model=_spacing(spark, d))
+    return rows.select("index", F.round("mz", 6).alias("mz"), "intensity")
+
+
+@query(_FILLED + " SELECT index, round(mz, 6) AS mz, intensity FROM f WHERE mz BETWEEN 10 AND 20")
+def chunk_fill_interpolate(spark, d):
+    """The same slab from the chunk layout."""
+    coded = chunks.encode_profile(_profile(spark, d), WIDTH)
+    rows = chunks.extract_from_chunks(coded, 10.0, 20.0, fill=chunks.NULL_INTERPOLATE, model=_spacing(spark, d))
+    return rows.select("index", F.round("mz", 6).alias("mz"), "intensity")
+
+
 @query("SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS place, unnest(embedding) AS x FROM embeddings")
 def list_explode(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "x"))
@@ -471,9 +534,7 @@ def _errors(spark, d):
     keys = ["l_returnflag", "l_linestatus"]
     e = table(spark, d, "lineitem").select(*keys, (F.col("l_extendedprice") / 10000).alias("y"), ((F.col("l_quantity") - 25) / 15).alias("x"))
     c = e.groupBy(*keys).agg(F.avg("y").alias("c"))
-    told = e.join(c, keys).join(_fits(spark, d).select(*keys, F.array("b0", "b1", "b2").alias("beta")), keys)
-    off = F.pow(models.predict(F.col("beta"), F.col("x")) - F.col("y"), 2)
-    return told.groupBy(*keys).agg(F.sum(F.pow(F.col("c") - F.col("y"), 2)).alias("e_const"), F.sum(off).alias("e_reg"), F.avg(off).alias("mse"))
+    return models.model_errors(e, keys, F.col("x"), F.col("y"), c, _fits(spark, d).select(*keys, F.array("b0", "b1", "b2").alias("beta")))
 
 
 @query(_ERRORS + " SELECT l_returnflag, l_linestatus, round(e_const, 3) AS e_const, round(e_reg, 3) AS e_reg, round(mse, 5) AS mse FROM er")
@@ -483,18 +544,33 @@ def model_errors(spark, d):
 
 @query(_ERRORS + " SELECT l_returnflag, l_linestatus, CASE WHEN e_const < e_reg / 10 THEN 'constant' ELSE 'quadratic' END AS model FROM er")
 def model_select(spark, d):
-    return _errors(spark, d).select("l_returnflag", "l_linestatus", F.when(F.col("e_const") < F.col("e_reg") / 10, "constant").otherwise("quadratic").alias("model"))
+    return _errors(spark, d).select("l_returnflag", "l_linestatus", models.selected_model(F.col("e_const"), F.col("e_reg")).alias("model"))
 
 
-@query()
+_SPACING = f"""WITH {AXIS}, dd AS (SELECT index, mz, lag(mz) OVER w AS before, mz - lag(mz) OVER w AS d, ln(1 + intensity) AS w FROM ax WINDOW w AS (PARTITION BY index ORDER BY pos)),
+m1 AS (SELECT index, quantile_cont(d, 0.5) AS m FROM dd GROUP BY 1), m2 AS (SELECT dd.index, quantile_cont(d, 0.5) AS c FROM dd JOIN m1 ON m1.index = dd.index AND d <= m1.m GROUP BY 1),
+k AS (SELECT * FROM dd WHERE d <= 1), p AS (SELECT index, avg(mz) AS mid, stddev_pop(mz) AS scale, count(*) AS n FROM k GROUP BY 1),
+z AS (SELECT k.index, (mz - mid) / scale AS z, d AS y, w FROM k JOIN p USING (index)),
+s AS (SELECT index, sum(w) AS s0, sum(w*z) AS s1, sum(w*z*z) AS s2, sum(w*z*z*z) AS s3, sum(w*z*z*z*z) AS s4, sum(w*y) AS t0, sum(w*y*z) AS t1, sum(w*y*z*z) AS t2 FROM z GROUP BY 1),
+f AS (SELECT *, s0*(s2*s4 - s3*s3) - s1*(s1*s4 - s3*s2) + s2*(s1*s3 - s2*s2) AS det FROM s),
+q AS (SELECT index, (t0*(s2*s4 - s3*s3) - s1*(t1*s4 - s3*t2) + s2*(t1*s3 - s2*t2))/det AS c0, (s0*(t1*s4 - s3*t2) - t0*(s1*s4 - s3*s2) + s2*(s1*t2 - t1*s2))/det AS c1, (s0*(s2*t2 - t1*s3) - s1*(s1*t2 - t1*s2) + t0*(s1*s3 - s2*s2))/det AS c2 FROM f),
+e AS (SELECT dd.index, sum(pow(c - d, 2)) AS e_const, sum(pow(c0 + c1 * ((before - mid) / scale) + c2 * pow((before - mid) / scale, 2) - d, 2)) AS e_reg FROM dd JOIN m2 USING (index) LEFT JOIN q USING (index) LEFT JOIN p USING (index) WHERE d IS NOT NULL GROUP BY 1),
+r AS (SELECT index, coalesce(p.n, 0) < 3 OR e_const < e_reg / 10 AS is_const, c, c0, c1, c2, mid, scale FROM m2 JOIN e USING (index) LEFT JOIN q USING (index) LEFT JOIN p USING (index)),
+b AS (SELECT index, unnest([min(mz), max(mz)]) AS mz FROM ax GROUP BY 1)"""
+
+
+@query(_SPACING + " SELECT index, round(b.mz, 6) AS mz, CASE WHEN is_const THEN 1 ELSE 3 END AS n_coefficients, round(CASE WHEN is_const THEN c ELSE c0 + c1 * ((b.mz - mid) / scale) + c2 * pow((b.mz - mid) / scale, 2) END, 4) AS step FROM r JOIN b USING (index)")
 def spacing_models(spark, d):
-    return models.spacing_models(axis(spark, d))
+    """The model of every entity, shown by the steps it predicts at the lowest and highest coordinate."""
+    ax = axis(spark, d)
+    ends = ax.groupBy("index").agg(F.array(F.min("mz"), F.max("mz")).alias("ends")).select("index", F.explode("ends").alias("mz"))
+    told = models.spacing_models(ax).where(F.size("mz_delta_model") > 0).join(ends, "index")
+    return told.select("index", F.round("mz", 6).alias("mz"), F.size("mz_delta_model").alias("n_coefficients"), F.round(models.predict(F.col("mz_delta_model"), F.col("mz")), 4).alias("step"))
 
 
 @query("SELECT spectrum_key, CAST(generate_subscripts(mz_delta_model, 1) - 1 AS INTEGER) AS place, unnest(mz_delta_model) AS coefficient, CAST(len(mz_delta_model) AS INTEGER) AS n FROM (SELECT DISTINCT spectrum_key, mz_delta_model FROM spectrum WHERE mz_delta_model IS NOT NULL)")
 def delta_model_column(spark, d):
-    s = table(spark, d, "spectrum").where("mz_delta_model is not null").select("spectrum_key", "mz_delta_model").distinct()
-    return s.select("spectrum_key", F.posexplode("mz_delta_model").alias("place", "coefficient"), F.size("mz_delta_model").alias("n"))
+    return models.model_coefficients(table(spark, d, "spectrum"), "spectrum_key")
 
 
 # --- facets, joins and parameters --------------------------------------------------------------------
@@ -521,6 +597,32 @@ def any_facet_filled(spark, d):
     return facets.any_facet(_packed(spark, d)).agg(F.count("*").alias("n_rows"))
 
 
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey = 7) AS n_spectra, (SELECT count(*) FROM selected_ion WHERE spectrum_index = 7) AS n_ions, (SELECT sum(selected_ion_mz) FROM selected_ion WHERE spectrum_index = 7) AS sum_mz")
+def entity_lookup(spark, d):
+    """One entity's rows of all facets."""
+    own = facets.entity(_packed(spark, d), 7)
+    return own["spectrum"].agg(F.count("*").alias("n_spectra")).join(own["selected_ion"].agg(F.count("*").alias("n_ions"), F.sum("mz").alias("sum_mz")))
+
+
+@query("""SELECT ion_id, CAST(coalesce(len(parameters), 0) + (charge_state IS NOT NULL)::INTEGER + (intensity IS NOT NULL)::INTEGER AS INTEGER) AS n_after,
+CASE WHEN charge_state IS NOT NULL OR intensity IS NOT NULL THEN CASE WHEN intensity IS NOT NULL THEN 'MS:1000042' ELSE 'MS:1000041' END END AS last_accession, CASE WHEN intensity IS NOT NULL THEN 'MS:1000131' END AS last_unit FROM selected_ion""")
+def unknown_columns_to_parameters(spark, d):
+    """Columns a reader doesn't know, by their inflected names."""
+    ions = table(spark, d, "selected_ion").select("ion_id", "parameters", F.col("charge_state").alias("MS_1000041_charge_state"), F.col("intensity").alias("MS_1000042_peak_intensity_unit_MS_1000131"))
+    after = facets.unknown_columns_to_parameters(ions, "parameters", ["ion_id"])
+    last = F.try_element_at(F.coalesce("parameters", F.array().cast(after.schema["parameters"].dataType)), F.lit(-1))
+    added = F.col("had_charge") | F.col("had_intensity")
+    told = after.join(ions.select("ion_id", F.col("MS_1000041_charge_state").isNotNull().alias("had_charge"), F.col("MS_1000042_peak_intensity_unit_MS_1000131").isNotNull().alias("had_intensity")).distinct(), "ion_id")
+    return told.select("ion_id", F.coalesce(F.size(F.col("parameters")), F.lit(0)).alias("n_after"), F.when(added, last["accession"]).alias("last_accession"), F.when(F.col("had_intensity"), last["unit"]).alias("last_unit"))
+
+
+@query("""SELECT DISTINCT ion_id, CAST(len(list_filter(parameters, lambda p: p IS NOT NULL)) AS INTEGER) AS n, list_filter(parameters, lambda p: p IS NOT NULL)[1].accession AS accession, list_filter(parameters, lambda p: p IS NOT NULL)[1].unit AS unit FROM selected_ion WHERE parameters IS NOT NULL""")
+def param_normalise(spark, d):
+    p = facets.normalised_parameters(F.col("parameters"))
+    first = F.try_element_at(p, F.lit(1))
+    return table(spark, d, "selected_ion").where("parameters is not null").select("ion_id", F.size(p).alias("n"), first["accession"].alias("accession"), first["unit"].alias("unit")).distinct()
+
+
 @query(f"WITH {META}, {_SCANS}, a AS (SELECT source_index AS index, count(*) AS n_scans, min(n) AS first_scan, sum(q) AS total FROM scans GROUP BY 1) SELECT m.index, coalesce(n_scans, 0) AS n_scans, first_scan, total FROM meta m LEFT JOIN a ON a.index = m.index")
 def facet_assembly(spark, d):
     scans = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_index"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
@@ -642,7 +744,7 @@ def regression_weights(spark, d):
 
 @query("SELECT number_of_auxiliary_arrays AS n_arrays, count(DISTINCT spectrum_key) AS n_spectra FROM spectrum GROUP BY 1")
 def auxiliary_counts(spark, d):
-    return table(spark, d, "spectrum").groupBy(F.col("number_of_auxiliary_arrays").alias("n_arrays")).agg(F.countDistinct("spectrum_key").alias("n_spectra"))
+    return summaries.counts_by(table(spark, d, "spectrum"), "number_of_auxiliary_arrays", "n_arrays", "spectrum_key").withColumnRenamed("n", "n_spectra")
 
 
 @query()
@@ -653,7 +755,7 @@ def auxiliary_values(spark, d):
 
 @query("SELECT count(*) AS n_lists, true AS linear_fits, true AS slof_fits, true AS pic_fits FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def numpress_round_trip(spark, d):
-    """Each order's prices through the three codecs and back."""
+    """Each order's prices through the three codecs and back, within what each promises."""
     lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("v"))
     near = lambda back, tol: F.forall(F.zip_with("v", back, lambda a, b: F.abs(a - b) <= tol(a)), lambda ok: ok)
     told = lists.select(
@@ -662,7 +764,13 @@ def numpress_round_trip(spark, d):
     return told.agg(F.count("*").alias("n_lists"), F.bool_and("l").alias("linear_fits"), F.bool_and("s").alias("slof_fits"), F.bool_and("p").alias("pic_fits"))
 
 
-@query()
+_MGF = f"""WITH {META}, {POINTS}, pk AS (SELECT index, string_agg(printf('%.4f %.4f', mz, intensity), chr(10) ORDER BY mz, intensity) AS body FROM points GROUP BY 1),
+ion AS (SELECT l_orderkey AS index, min(l_extendedprice) AS mz, arg_min(l_linenumber, (l_extendedprice, l_linenumber)) AS charge FROM lineitem GROUP BY 1)
+SELECT concat_ws(chr(10), 'BEGIN IONS', 'TITLE=order=' || m.index, printf('RTINSECONDS=%.4f', m.time * 60), printf('PEPMASS=%.4f', ion.mz), 'CHARGE=' || ion.charge || '+', body, 'END IONS' || chr(10)) AS value
+FROM meta m JOIN pk USING (index) LEFT JOIN ion USING (index)""".replace("arg_min(l_linenumber, (l_extendedprice, l_linenumber))", "min(row(l_extendedprice, l_linenumber))[2]")
+
+
+@query(_MGF)
 def mgf_export(spark, d):
     """Orders as MGF text blocks."""
     from slabworks.sources.archive import mgf_text
@@ -683,12 +791,12 @@ def rename_by_vocabulary(spark, d):
 @query(MARKED + " SELECT index, pos, coalesce(x, 0) AS x FROM marked")
 def null_intensity_as_zero(spark, d):
     """What a single-entity read gives for null intensities."""
-    return _marked(spark, d).withColumn("x", F.coalesce("x", F.lit(0.0)))
+    return signal.nulls_as_zero(_marked(spark, d), "x")
 
 
 @query(f"WITH {_SIDES} SELECT source_index, count(*) AS n, arg_max(target, coalesce(precursor_index, -1)) AS first_target, arg_min(target, coalesce(precursor_index, -1)) AS last_target FROM pre GROUP BY 1")
 def precursors_in_reverse(spark, d):
     """Precursors of each source from the highest index down, so the lowest comes last; a null index is the lowest."""
     pre, _ = _sides(spark, d)
-    lists = pre.groupBy("source_index").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("precursor_index", F.lit(-1)).alias("o"), "target")), asc=False).alias("p"))
+    lists = facets.precursors_reversed(pre, ["target"], "p")
     return lists.select("source_index", F.size("p").cast("bigint").alias("n"), F.element_at("p", 1)["target"].alias("first_target"), F.element_at("p", -1)["target"].alias("last_target"))

@@ -208,11 +208,16 @@ def schema_rows(df: DataFrame) -> list[tuple[str, str]]:
     return walk("", df.schema)
 
 
-def mgf_text(points: DataFrame, meta: DataFrame, ions: DataFrame) -> DataFrame:
-    """Spectra as MGF text, one value per spectrum: ready for ``write.text``."""
+def mgf_text(points: DataFrame, meta: DataFrame, ions: DataFrame, digits: int = 4) -> DataFrame:
+    """Spectra as MGF text, one value per spectrum: ready for ``write.text``. Of a spectrum's ions the lowest is told."""
+    number = lambda c: F.format_string(f"%.{digits}f", c.cast("double"))
     peaks = points.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("p"))
-    first = ions.groupBy("index").agg(F.min_by(F.struct("mz", "charge"), "mz").alias("ion"))
-    body = F.concat_ws("\n", F.transform("p", lambda x: F.concat_ws(" ", x["mz"].cast("string"), x["intensity"].cast("string"))))
+    first = ions.groupBy("index").agg(F.min(F.struct("mz", "charge")).alias("ion"))
+    body = F.concat_ws("\n", F.transform("p", lambda x: F.concat_ws(" ", number(x["mz"]), number(x["intensity"]))))
     rows = meta.join(peaks, "index").join(first, "index", "left")
-    head = F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("TITLE="), "id"), F.concat(F.lit("RTINSECONDS="), (F.col("time") * 60).cast("string")), F.concat(F.lit("PEPMASS="), F.col("ion.mz").cast("string")), F.concat(F.lit("CHARGE="), F.col("ion.charge").cast("string"), F.lit("+")))
+    told = lambda label, c, text: F.when(c.isNotNull(), F.concat(F.lit(label), text))
+    head = F.concat_ws(
+        "\n", F.lit("BEGIN IONS"), F.concat(F.lit("TITLE="), "id"), told("RTINSECONDS=", F.col("time"), number(F.col("time") * 60)), told("PEPMASS=", F.col("ion.mz"), number(F.col("ion.mz"))),
+        told("CHARGE=", F.col("ion.charge"), F.concat(F.col("ion.charge").cast("string"), F.lit("+"))),
+    )
     return rows.select(F.concat_ws("\n", head, body, F.lit("END IONS\n")).alias("value"))

@@ -16,7 +16,15 @@ ARRAY_NAMES = {
     "m/z array": "mz", "time array": "time", "intensity array": "intensity", "charge array": "charge", "signal to noise array": "signal_to_noise", "wavelength array": "wavelength",
     "ion mobility array": "ion_mobility", "mean ion mobility array": "mean_ion_mobility", "mean drift time array": "mean_drift_time", "mean inverse reduced ion mobility array": "mean_inverse_reduced_ion_mobility",
     "raw ion mobility array": "raw_ion_mobility", "raw drift time array": "raw_drift_time", "raw inverse reduced ion mobility array": "raw_inverse_reduced_ion_mobility",
-    "deconvoluted ion mobility array": "deconvoluted_ion_mobility", "baseline array": "baseline", "resolution array": "resolution",
+    "deconvoluted ion mobility array": "deconvoluted_ion_mobility", "deconvoluted drift time array": "deconvoluted_drift_time__array",
+    "deconvoluted inverse reduced ion mobility array": "deconvoluted_inverse_reduced_ion_mobility__array", "baseline array": "baseline", "resolution array": "resolution",
+    "pressure array": "pressure__array", "temperature array": "temperature__array", "flow rate array": "flow_rate__array",
+}
+#: Units within the names of arrays that aren't the primary one of their type.
+UNIT_NAMES = {
+    "MS:1000040": "mz", "UO:0000221": "da", "UO:0000169": "ppm", "UO:0000018": "nm", "UO:0000031": "min", "UO:0000010": "sec", "UO:0000028": "msec", "MS:1002814": "vspc", "MS:1000131": "dc",
+    "MS:1000132": "bp", "MS:1000905": "bpp", "UO:0000269": "au", "MS:1000814": "cps", "UO:0000266": "ev", "UO:0000218": "v", "UO:0000027": "c", "UO:0000012": "k", "UO:0000110": "pa",
+    "UO:0010052": "psi", "UO:0000271": "mlpmin", "UO:0000187": "pct",
 }
 #: What a column of each buffer format is called behind the array's name.
 FORMAT_ENDINGS = {"point": "", "chunk_secondary": "", "chunk_values": "_chunk_values", "chunk_start": "_chunk_start", "chunk_end": "_chunk_end"}
@@ -31,6 +39,11 @@ def column_name(accession: Column, name: Column, unit: Column | None = None) ->
     return base if unit is None else F.when(unit.isNull(), base).otherwise(F.concat(base, F.lit("_unit_"), F.replace(unit, F.lit(":"), F.lit("_"))))
 
 
+def plain_column_name(accession: Column, name: Column) -> Column:
+    """The other spelling in use: runs of odd characters as one ``_``, hyphens stay, and m/z is no exception."""
+    return F.concat(F.replace(accession, F.lit(":"), F.lit("_")), F.lit("_"), F.regexp_replace(name, r"[^a-zA-Z0-9_\\-]+", "_"))
+
+
 def accession_of(column: Column) -> Column:
     """The accession told by a column name, null if it tells none."""
     return F.regexp_replace(F.regexp_substr(column, F.lit(r"^(MS|UO)_[^_]+(?=_.)")), "_", ":")
@@ -72,22 +85,32 @@ def curie(cv_id: Column, number: Column) -> Column:
 def array_column_name(array_type: str, buffer_format: str = "point", primary: bool = True, data_type: str | None = None, unit: str | None = None, transform: str | None = None) -> str:
     """The column of a signal array: its short name, for others than the primary one with type and unit, and its format's ending."""
     base = ARRAY_NAMES.get(array_type) or re.sub(r"[/ .]", "_", array_type)
-    if buffer_format == "chunk_encoding":
+    if buffer_format == "chunk_encoding" and primary:
         return "chunk_encoding"
     if not primary:
-        base = "_".join(x for x in (base, DTYPE_NAMES.get(data_type or "", "unknown"), unit) if x)
+        base = "_".join(x for x in (base, DTYPE_NAMES.get(data_type or "", "unknown"), UNIT_NAMES.get(unit or "", unit)) if x)
     if buffer_format == "chunk_transform":
         if not transform:
             raise ValueError("a transformed array needs a transform")
         return f"{base}_{transform}_bytes"
-    return base + FORMAT_ENDINGS[buffer_format]
+    return base + (FORMAT_ENDINGS[buffer_format] if primary else "")
 
 
 def array_order(array_type: str) -> int:
-    """Where an array's column stands: known arrays in their order, others behind."""
+    """Where an array's column stands: known arrays in their order, others behind them, by their names."""
     return list(ARRAY_NAMES).index(array_type) if array_type in ARRAY_NAMES else len(ARRAY_NAMES)
 
 
+#: The order of buffer formats within a row.
+_FORMATS = ["chunk_start", "chunk_end", "chunk_values", "chunk_encoding", "point", "chunk_secondary", "chunk_transform"]
+
+
+def column_order(arrays: list[dict]) -> list[dict]:
+    """Arrays (array_type, buffer_format, primary, data_type) in the order their columns are written, behind the index."""
+    place = lambda x: _FORMATS.index(x.get("buffer_format", "point"))
+    return sorted(arrays, key=lambda x: (place(x), array_order(x["array_type"]), x["array_type"], not x.get("primary", True), DTYPE_NAMES.get(x.get("data_type", ""), "")))
+
+
 def data_kind(c: Column) -> Column:
     s = F.lower(F.trim(c))
     return F.when(s.isin("data arrays", "peaks", "metadata", "proprietary"), s).otherwise("other")
@@ -109,10 +132,14 @@ def default_spectrum_type(ms_level: Column) -> Column:
 
 
 def chunk_option(text: str) -> tuple[str, float]:
-    """``method:width``; the width is 50 unless told, an unknown method is delta."""
+    """``method:width``; plain is another word for basic, an unknown method is delta, a width that is no number is 50."""
     method, _, width = text.strip().partition(":")
-    method = method.lower()
-    return (method if method in ("basic", "delta", "numpress") else "delta", float(width) if width else 50.0)
+    method = {"plain": "basic"}.get(method.lower(), method.lower())
+    try:
+        number = float(width)
+    except ValueError:
+        number = 50.0
+    return method if method in ("basic", "delta", "numpress") else "delta", number
 
 
 def size_option(text: str) -> int:

@@ -1,7 +1,8 @@
 """Run archives: a directory or an uncompressed ZIP of Parquet members with a JSON index.
 
-A directory is read where it is, by any Hadoop URI Spark knows. Members of a ZIP are stored uncompressed,
-so they are copied byte by byte into a folder that all executors can read before Spark opens them.
+A directory is read where it is, by any Hadoop URI Spark knows. Members of a ZIP are stored uncompressed:
+they are read as ranges of the archive by ``stored_zip``, or, where a shared folder is named, copied there
+first, which gives Spark's own Parquet scan with its pushed filters.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slabworks.sources.stored_zip import StoredZip, member_range, open_file
+
 #: The index is the one member so named, whatever precedes it; archives written here use INDEX.
 INDEX_ENDING, INDEX = "_index.json", "run_index.json"
 #: File names of the table members.
@@ -42,10 +45,42 @@ class Archive:
     def __init__(self, spark: SparkSession, root: str, entries: list[dict], metadata: dict):
         self.spark, self.root, self.entries, self.metadata = spark, root, entries, metadata
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def member(self, kind: str) -> DataFrame | None:
-        """A table member; reads by row where a column's encoding needs it is left to the session's Parquet settings."""
-        names = [e["name"] for e in self.entries if e["kind"] == kind]
-        return self.spark.read.parquet(f"{self.root}/{names[0]}") if names else None
+        """A table member, of several files all of them; whether by row, where a column's encoding needs it, is left to the session's Parquet settings."""
+        out = None
+        for name in (e["name"] for e in self.entries if e["kind"] == kind):
+            out = self._read(name) if out is None else out.unionByName(self._read(name), allowMissingColumns=True)
+        return out
+
+    def signal(self, peaks: bool = False) -> tuple[str, DataFrame] | None:
+        """The layout (point or chunk) and rows of the points or peaks, with their key as ``index``."""
+        df = self.member("spectra_peaks" if peaks else "spectra_data")
+        if df is None:
+            return None
+        shape = next((c for c in ("point", "chunk") if c in df.columns), None)
+        rows = df.select(f"{shape}.*") if shape else df
+        return shape or ("chunk" if "chunk_encoding" in rows.columns else "point"), rows.withColumnRenamed("spectrum_index", "index")
+
+    def describe(self) -> DataFrame:
+        """(what, value): spectra, points, whether there are peaks and chromatograms, and the arrays of the signal tables."""
+        from slabworks.operators.facets import FACET_KEYS, facet
+
+        rows: list[tuple[str, str]] = []
+        meta = self.member("spectra_metadata")
+        if meta is not None:
+            rows.append(("spectra", str((facet(meta, "spectrum") if "spectrum" in meta.columns and "spectrum" in FACET_KEYS else meta).count())))
+        signal = self.signal()
+        if signal is not None:
+            layout, points = signal
+            rows.append(("layout", layout))
+            rows.append((f"{layout}s", str(points.count())))
+            rows += [("spectrum array", c) for c in points.columns if c != "index"]
+        rows.append(("peaks", str(self.member("spectra_peaks") is not None).lower()))
+        rows.append(("chromatograms", str(self.member("chromatograms_metadata") is not None).lower()))
+        return self.spark.createDataFrame(rows, "what string, value string")
 
     def listing(self) -> DataFrame:
         return self.spark.createDataFrame([(e["name"], e["entity_type"], e["data_kind"], e["kind"]) for e in self.entries], "name string, entity_type string, data_kind string, member_kind string")
@@ -93,6 +128,33 @@ def open_directory(spark: SparkSession, root: str) -> Archive:
     return Archive(spark, root, _entries(index, [n for n in names if n not in found]), (index or {}).get("metadata", {}))
 
 
+class PackedArchive(Archive):
+    """An archive whose members are read within the ZIP."""
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.format("stored_zip").option("path", self.root).option("member", name).load()
+
+    def raw(self, name: str) -> DataFrame:
+        start, size = member_range(self.root, name)
+        with open_file(self.root) as f:
+            f.seek(start)
+            content = f.read(size)
+        return self.spark.createDataFrame([(bytearray(content), size)], "content binary, length bigint")
+
+
+def open_packed(spark: SparkSession, path: str) -> PackedArchive:
+    """A packed archive at a path or URI, read in place: every task opens the ranges of its row groups."""
+    spark.dataSource.register(StoredZip)
+    with open_file(path) as f, zipfile.ZipFile(f) as z:
+        infos = [i for i in z.infolist() if not i.is_dir()]
+        for info in infos:
+            if info.compress_type != zipfile.ZIP_STORED:
+                raise ValueError(f"{info.filename} is compressed; members must be stored")
+        found = [i.filename for i in infos if i.filename.endswith(INDEX_ENDING)]
+        index = json.loads(z.read(found[0])) if found else None
+    return PackedArchive(spark, path, _entries(index, [i.filename for i in infos if i.filename not in found]), (index or {}).get("metadata", {}))
+
+
 def open_zip(spark: SparkSession, path: str, shared: str) -> Archive:
     """A packed archive; its members are copied to the folder `shared`, which executors must be able to read."""
     with zipfile.ZipFile(path) as z:
@@ -111,13 +173,56 @@ def open_zip(spark: SparkSession, path: str, shared: str) -> Archive:
 
 
 def open_archive(spark: SparkSession, path: str, shared: str | None = None) -> Archive:
-    if path.endswith(".zip") or (Path(path).is_file() and zipfile.is_zipfile(path)):
-        if shared is None:
-            raise ValueError("a packed archive needs a shared folder to unpack to")
-        return open_zip(spark, path, shared)
+    """A directory, or a ZIP read in place, or, if a shared folder is named, from a copy there."""
+    if path.endswith(".zip") or ("://" not in path and Path(path).is_file() and zipfile.is_zipfile(path)):
+        return open_packed(spark, path) if shared is None else open_zip(spark, path, shared)
     return open_directory(spark, path)
 
 
+def writer_options(row_group_bytes: int = 512 << 20, page_bytes: int = 1 << 20, dictionary_bytes: int = 1 << 20, compression: str = "zstd", bloom: tuple[str, ...] = (), no_dictionary: tuple[str, ...] = ()) -> dict[str, str]:
+    """Parquet options by name: sizes, compression, and columns (paths) with a bloom filter or without a dictionary."""
+    told = {"compression": compression, "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.dictionary.page.size": dictionary_bytes}
+    told |= {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom} | {f"parquet.enable.dictionary#{c}": "false" for c in no_dictionary}
+    return {k: str(v) for k, v in told.items()}
+
+
+def write_run(
+    root: str, meta: DataFrame, points: DataFrame, layout: str = "chunk", width: float = 50.0, encoding: str | None = None, profile: str | None = "is_profile", peaks: DataFrame | None = None, pos: str = "pos",
+    types: dict[str, str] | None = None, hooks: list | None = None, metadata: dict | None = None, extra: dict[str, bytes] | None = None,
+) -> None:
+    """An archive from spectra and their points.
+
+    meta has a row per spectrum (index, id, time, ...) and maybe a boolean column `profile`: only profile
+    spectra are stripped of zero runs and marked with nulls, others are written plainly. layout: chunk or
+    point. types: columns of points in other types; hooks: what a caller adds to meta. Spectra are sorted by
+    index and have a bloom filter on id; points are sorted by index and coordinate. Every spectrum gets its
+    spacing model, with which its nulls are filled again.
+    """
+    from slabworks.operators import chunks, models, peaks as peak_lists, signal
+
+    points = peak_lists.cast_columns(points, types or {})
+    meta = peak_lists.with_hooks(meta, hooks or [])
+    flags = meta.select("index", (F.coalesce(F.col(profile), F.lit(False)) if profile in meta.columns else F.lit(True)).alias("_profile"))
+    parts = [points.join(flags.where(F.col("_profile") == is_profile).select("index"), "index", "left_semi") for is_profile in (True, False)]
+    rows = None
+    for is_profile, part in zip((True, False), parts):
+        if layout == "chunk":
+            one = chunks.encode_profile(part, width, encoding or chunks.DELTA, is_profile, pos=pos)
+        elif is_profile:
+            one = signal.null_mark(signal.strip_zero_runs(part, "index", pos, "intensity"), "index", pos, "intensity", ["mz"])
+        else:
+            one = part
+        rows = one if rows is None else rows.unionByName(one)
+    # a single column of struct is the file format; order within a spectrum is the order of its rows
+    order = ["index", "chunk_id"] if layout == "chunk" else ["index", pos]
+    data = rows.repartitionByRange("index").sortWithinPartitions(*order)
+    told = meta.join(models.spacing_models(points), "index", "left")
+    members = {"spectra_metadata": told.repartitionByRange("index").sortWithinPartitions("index").select(F.struct("*").alias("spectrum")), "spectra_data": data.select(F.struct("*").alias(layout))}
+    if peaks is not None:
+        members["spectra_peaks"] = peaks.repartitionByRange("index").sortWithinPartitions("index", "mz").select(F.struct("*").alias("point"))
+    write_directory(root, members, metadata, None, writer_options(bloom=("spectrum.id",)), extra)
+
+
 def write_directory(root: str, members: dict[str, DataFrame], metadata: dict | None = None, sort: dict[str, list[str]] | None = None, options: dict[str, str] | None = None, extra: dict[str, bytes] | None = None) -> None:
     """An unpacked archive: a Parquet dataset per member kind, an index, and any further files.
 

@@ -102,7 +102,7 @@ def array_order(array_type: str) -> int:
 
 
 #: The order of buffer formats within a row.
-_FORMATS = ["chunk_start", "chunk_end", "chunk_values", "chunk_encoding", "point", "chunk_secondary", "chunk_transform"]
+_FORMATS = ["point", "chunk_start", "chunk_end", "chunk_values", "chunk_encoding", "chunk_secondary", "chunk_transform"]
 
 
 def column_order(arrays: list[dict]) -> list[dict]:

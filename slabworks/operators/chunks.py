@@ -373,7 +373,7 @@ def encode_auxiliary(values: Column, compression: str | None, data_type: str) ->
 
 
 def auxiliary_values(spectrum: DataFrame, key: str = "spectrum_key") -> DataFrame:
-    """(key, place, name, integers, floats, texts) of the auxiliary arrays; spectra that count none are not opened."""
+    """(key, place, name, compression, data_type, integers, floats, texts) of the auxiliary arrays; spectra that count none are not opened."""
     some = spectrum.where("number_of_auxiliary_arrays > 0").select(key, F.posexplode("auxiliary_arrays").alias("place", "a")).where("a is not null")
     told = some.withColumn("v", decode_auxiliary("a.data", "a.compression", "a.data_type"))
-    return told.select(key, "place", F.col("a.name.name").alias("name"), "v.integers", "v.floats", "v.texts")
+    return told.select(key, "place", F.col("a.name.name").alias("name"), "a.compression", "a.data_type", "v.integers", "v.floats", "v.texts")

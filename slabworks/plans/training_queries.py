@@ -165,6 +165,12 @@ rows3 AS (
   FROM rows2 r LEFT JOIN lab l ON l.label = r.lab
   LEFT JOIN attribute_ref a ON a.accession = {_CURIE.format('r.acc')}
   LEFT JOIN attribute_ref b ON coalesce(r.acc, '') = '' AND regexp_replace(b.attribute_name, '[^a-z0-9]+', '', 'g') = {_NAME.format('r.name')}),
+seen AS (
+  SELECT coalesce({_CURIE.format('r.lab')}, r.lab) AS label, count(*) AS n_values FROM rows2 r
+  LEFT JOIN attribute_ref a ON a.accession = {_CURIE.format('r.acc')}
+  LEFT JOIN attribute_ref b ON coalesce(r.acc, '') = '' AND regexp_replace(b.attribute_name, '[^a-z0-9]+', '', 'g') = {_NAME.format('r.name')}
+  WHERE r.lab <> '' AND coalesce(a.common_unit, b.common_unit) IS NOT NULL GROUP BY 1),
+plain AS (SELECT unit_curie AS label, unit_curie AS unit FROM unit_ref UNION SELECT symbol, unit_curie FROM unit_ref UNION SELECT unit_name, unit_curie FROM unit_ref),
 told AS (
   SELECT r.*, (number * u.to_base_factor + u.to_base_shift - c.to_base_shift) / c.to_base_factor AS common_value FROM rows3 r
   JOIN unit_ref u ON u.unit_curie = r.recorded_unit JOIN unit_ref c ON c.unit_curie = r.common_unit WHERE u.quantity_kind = c.quantity_kind)
@@ -302,6 +308,7 @@ rows0 AS (
 ORACLES: dict[str, str] = {
     "p1_found": _P1_BASE + "SELECT DISTINCT table_name, row_id, recorded_unit FROM told WHERE recorded_unit <> common_unit",
     "p1_common_values": _P1_BASE + "SELECT attribute, common_unit, recorded_unit, count(*) AS n_values, round(min(common_value), 4) AS lowest, round(max(common_value), 4) AS highest FROM told GROUP BY ALL",
+    "p1_labels": _P1_BASE + "SELECT s.label, coalesce(p.unit, l.unit) AS unit, CASE WHEN p.unit IS NOT NULL THEN 'name' WHEN l.unit IS NOT NULL THEN 'letters' ELSE 'unresolved' END AS told_by, n_values FROM seen s LEFT JOIN plain p ON p.label = s.label LEFT JOIN lab l ON l.label = s.label",
     "p2_found": _P2_BASE + "SELECT table_name, field_name, row_id FROM o WHERE reason IS NOT NULL",
     "p2_counts": _P2_BASE + "SELECT table_name, field_name, CAST(loaded AS DATE) AS period, reason, count(*) AS n_orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
     "p3_certified": _P3_BASE + "SELECT field_name, ms_level, day, quantile, n, low, high, true AS within FROM (SELECT field_name, ms_level, day, count(*) AS n, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high FROM w GROUP BY ALL) CROSS JOIN q",

@@ -87,6 +87,15 @@ def extract_points(
     return rows.join(keys, "index") if with_time else rows.join(keys.select("index"), "index", "left_semi")
 
 
+def extract_naive(points: DataFrame, meta: DataFrame, time: Range | None = None, mz: Range | None = None, im: Range | None = None, ms_level: Range | None = None) -> DataFrame:
+    """The slab by brute force, to measure and test the others against: all points meet their entity, then every row is looked at."""
+    rows = points.join(meta.select("index", F.struct("time", *[c for c in ("ms_level",) if c in meta.columns]).alias("_m")), "index")
+    for c, bounds in (("_m.time", time), ("mz", mz), ("im", im if "im" in points.columns else None), ("_m.ms_level", ms_level)):
+        if bounds:
+            rows = rows.where(contains(c, *bounds))
+    return rows.drop("_m")
+
+
 def attach_time(points: DataFrame, meta: DataFrame) -> DataFrame:
     return points.join(meta.select("index", "time"), "index")
 

@@ -95,6 +95,11 @@ def resolve_precursors(precursor: DataFrame, meta: DataFrame, run: tuple[str, ..
     return told.select(*run, "_row.source_index", "precursor_id", *[f"_row.{c}" for c in rest], found)
 
 
+def sorted_precursors(precursor: DataFrame) -> DataFrame:
+    """Precursors by source and their own index, from range to range."""
+    return precursor.repartitionByRange("source_index").sortWithinPartitions("source_index", "precursor_index")
+
+
 def precursors_reversed(precursor: DataFrame, columns: list[str], name: str = "precursors") -> DataFrame:
     """(source_index, precursors): each source's precursors from the highest index down, so the lowest comes last; a null index is the lowest."""
     order = F.coalesce("precursor_index", F.lit(-1)).alias("order")

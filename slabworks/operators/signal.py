@@ -149,9 +149,12 @@ def chunk_ids(df: DataFrame, key: str, pos: str, x: str, width: float, name: str
 
 
 def null_segments(df: DataFrame, key: str, pos: str, x: str, name: str = "segment") -> DataFrame:
-    """Stretches between paired nulls; of a pair the first closes a stretch and the second opens the next."""
+    """Stretches between nulls. Of a run of nulls the first closes a stretch and the last opens the next, so those
+    between them stand alone; a null between two values only closes one, and the value behind it opens the next."""
     w = in_order(key, pos)
-    opens = F.col(x).isNull() & F.lag(F.lit(1)).over(w).isNotNull() & F.lag(x).over(w).isNull()
+    before, before_that = F.lag(x).over(w), F.lag(x, 2).over(w)
+    there = F.lag(F.lit(1)).over(w).isNotNull()
+    opens = (there & F.col(x).isNull() & before.isNull()) | (there & F.col(x).isNotNull() & before.isNull() & before_that.isNotNull())
     return df.withColumn("_o", opens.cast("int")).withColumn(name, F.sum("_o").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_o")
 
 

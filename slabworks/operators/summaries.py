@@ -55,3 +55,10 @@ def all_null_columns(df: DataFrame) -> list[str]:
 
 def drop_all_null(df: DataFrame) -> DataFrame:
     return df.drop(*all_null_columns(df))
+
+
+def plain_frame(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """A table as people read it: without empty columns, the others by the plain names their column names tell."""
+    from slabworks.functions.cv import rename_by_vocabulary
+
+    return rename_by_vocabulary(drop_all_null(df), names)

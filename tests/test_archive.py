@@ -158,3 +158,26 @@ def test_median_modes(spark):
         df = spark.createDataFrame([(1, v) for v in values], "k int, d double")
         for mode, want in (("middle", middle), ("upper", upper)):
             assert models.second_median(df, ["k"], "d", mode).first().median == want
+
+
+def test_convert(spark, tmp_path, capsys):
+    from slabworks import cli, convert
+    from tests.test_kernels import profile
+
+    spark.createDataFrame(profile(), "index bigint, pos bigint, mz double, intensity double").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, "a", 1.0, 1), (2, "b", 2.0, 1)], "index bigint, id string, time double, ms_level int").write.parquet(str(tmp_path / "m"))
+    convert.main([str(tmp_path / "m"), str(tmp_path / "p"), str(tmp_path / "run"), "--chunk", "numpress:2", "--packed", str(tmp_path / "run.zip")])
+    line = capsys.readouterr().out.strip().splitlines()[-1].split(",")
+    assert line[4] == "ok" and int(line[1]) > 0 and int(line[2]) > 0
+    slab = lambda path: sorted((r["index"], r.mz, r.intensity) for r in cli.slab(A.open_archive(spark, path), (0, 10), (201.0, 203.0)).collect())
+    assert slab(str(tmp_path / "run.zip")) == slab(str(tmp_path / "run")) != []
+    assert convert.convert(spark, str(tmp_path / "m"), str(tmp_path / "m"), str(tmp_path / "bad"))[4] != "ok"
+
+
+def test_frames_as_people_read_them(spark):
+    from slabworks.operators import facets, summaries
+
+    df = spark.createDataFrame([(1, None, 2.0)], "index bigint, MS_1_empty double, MS_1000016_scan_start_time_unit_UO_0000031 double")
+    assert summaries.plain_frame(df).columns == ["index", "scan_start_time"]
+    pre = spark.createDataFrame([(2, 1), (1, 2), (1, 1)], "source_index bigint, precursor_index bigint")
+    assert [tuple(r) for r in facets.sorted_precursors(pre).collect()] == [(1, 1), (1, 2), (2, 1)]

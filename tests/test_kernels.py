@@ -57,6 +57,19 @@ def test_fill_bounded_and_single(spark):
     assert got[3] == [None, None]
 
 
+def test_segments_of_single_and_paired_nulls(spark):
+    n = None
+    cases = [
+        ([n, 50.0, n], [0, 0, 0]), ([n, 50.0], [0, 0]), ([50.0, n, 50.2], [0, 0, 1]), ([50.0, 50.1, n, 50.2, n, 50.3, n], [0, 0, 0, 1, 1, 2, 2]), ([101.0, n], [0, 0]),
+        ([101.0, 101.01, 101.02, n, n, 101.5], [0, 0, 0, 0, 1, 1]), ([n, 101.0, 101.01, 101.02, n, n, n, 101.5], [0, 0, 0, 0, 0, 1, 2, 2]),
+    ]
+    df = seq(spark, *[c for c, _ in cases])
+    got = by_key(signal.null_segments(df, "index", "pos", "x"), "segment")
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    filled = by_key(signal.fill_nulls(df, "index", "pos", "x", model=F.lit(0.015)), "filled")
+    assert filled[2] == pytest.approx([50.0, 50.015, 50.2]) and filled[0] == pytest.approx([49.985, 50.0, 50.015]) and filled[4] == pytest.approx([101.0, 101.015])
+
+
 def test_delta_round_trip_with_nulls(spark):
     lists = [[1, 2, 4, None, 7, 9], [None, 3, 4, None, None, 8], [None], [5], [2, None, None, 3, 3]]
     df = seq(spark, *lists)

@@ -59,7 +59,9 @@ def _field_of(forms: dict[str, str], key: Column) -> Column:
     """The target field a key stands for, else the key itself."""
     if not forms:
         return key
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in forms.items() for x in pair]), key_form(key)), key)
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    table = F.expr("map(" + ", ".join(f"{text(form)}, {text(field)}" for form, field in forms.items()) + ")")
+    return F.coalesce(F.try_element_at(table, key_form(key)), key)
 
 
 def json_type(s: Column) -> Column:
@@ -149,7 +151,7 @@ def observed_fields(lines: DataFrame, targets: dict[str, dict[str, str]] | None
     kinds.append((lines.where(~F.col("record_kind").isin(list(targets))), {}, {}))
     seen = None
     for some, target, other in kinds:
-        keys = ingest_records(some, target, other).select(*file, F.explode_outer("_seen").alias("s")).select(*file, "s.key", "s.schema").where("key is not null").distinct()
+        keys = ingest_records(some, target, other, replay=False).select(*file, F.explode_outer("_seen").alias("s")).select(*file, "s.key", "s.schema").where("key is not null").distinct()
         one = keys.select(*file, _field_of(approved_forms(target, other), F.col("key")).alias("field_name"), "key", json_type(F.col("schema")).alias("json_type"))
         seen = one if seen is None else seen.unionByName(one)
     return seen.groupBy(*file, "field_name").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set("json_type")).alias("types"))

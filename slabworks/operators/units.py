@@ -140,11 +140,11 @@ def source_statistics(obs: DataFrame) -> DataFrame:
     )
 
 
-def source_links(obs: DataFrame) -> DataFrame:
+def source_links(obs: DataFrame, stats: DataFrame) -> DataFrame:
     """(attribute, label, other, n, q, oq): quantiles of what two sources recorded of the same entities, each pair both ways.
 
-    An entity gives one link, between the first and the last of its sources, so there are never more links
-    than entities. Up to there labels go by their hash: only numbers are aggregated and shuffled.
+    stats names the sources. An entity gives one link, between the first and the last of its sources, so
+    there are never more links than entities. Up to there labels go by their hash: only numbers are aggregated and shuffled.
     """
     quantiles = lambda c: F.percentile_approx(c, F.array(*map(F.lit, QUANTILES)), 1000)
     hashed = obs.where("label is not null").select("attribute", "entity", F.xxhash64("label").alias("l"), "number")
@@ -152,7 +152,7 @@ def source_links(obs: DataFrame) -> DataFrame:
     pairs = ends.groupBy("attribute", "la", "lb").agg(F.count("*").alias("n"), quantiles("va").alias("qa"), quantiles("vb").alias("qb"))
     ways = F.explode(F.array(F.struct(F.col("la").alias("l"), F.col("lb").alias("o"), F.col("qa").alias("q"), F.col("qb").alias("oq")), F.struct(F.col("lb").alias("l"), F.col("la").alias("o"), F.col("qb").alias("q"), F.col("qa").alias("oq"))))
     both = pairs.select("attribute", "n", ways.alias("w")).select("attribute", "n", "w.*")
-    names = obs.where("label is not null").select("attribute", "label").distinct()
+    names = stats.select("attribute", "label")
     own = names.select("attribute", "label", F.xxhash64("label").alias("l"))
     other = names.select("attribute", F.col("label").alias("other"), F.xxhash64("label").alias("o"))
     return both.join(own, ["attribute", "l"]).join(other, ["attribute", "o"]).select("attribute", "label", "other", "n", "q", "oq")
@@ -194,7 +194,7 @@ def resolve_labels(stats: DataFrame, units: DataFrame, links: DataFrame | None =
     kinds = unit_rows.select(F.col("unit").alias("common_unit"), F.col("kind").alias("a_kind"))
     stats = materialise(stats.join(kinds, "common_unit"))
     links = None if links is None else materialise(links)
-    labels = named.select("label", "unit", F.lit("name").alias("told_by"))
+    labels = materialise(named.select("label", "unit", F.lit("name").alias("told_by")))
     while True:
         told = stats.join(labels, "label").join(unit_rows, "unit").where("kind = a_kind")
         # the anchors of an attribute: per unit the best-filled source, so at most one per unit of its kind
@@ -222,7 +222,7 @@ def resolve_labels(stats: DataFrame, units: DataFrame, links: DataFrame | None =
         new = materialise(fitting.groupBy("label").agg(best.alias("b")).select("label", "b.unit", "b.told_by"))
         if new.isEmpty():
             break
-        labels = materialise(labels.unionByName(new))
+        labels = labels.unionByName(new)  # parts that are written already
     return labels
 
 
@@ -255,7 +255,8 @@ def normalise_units(spectrum_parameter: DataFrame, meta_param: DataFrame, attrib
     Columns: table_name, row_id, run_id, attribute, common_unit, label, number, recorded_unit, common_value.
     """
     obs = read_parameters(spectrum_parameter, meta_param, attributes)
-    labels = resolve_labels(source_statistics(obs), units, source_links(obs))
+    stats = materialise(source_statistics(obs))
+    labels = resolve_labels(stats, units, source_links(obs, stats))
     return in_common_units(obs, labels, units).drop("entity")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabworks.operators import digest, drift, nested, orphans, units, wide
-from slabworks.session import table
+from slabworks.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,8 @@ def p1_common_values(spark: SparkSession, d: str) -> DataFrame:
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every way a unit is written: the unit it was told to be, by what, and how many values have it."""
     obs = units.read_parameters(table(spark, d, "spectrum_parameter"), table(spark, d, "meta_param"), table(spark, d, "attribute_ref"))
-    stats = units.source_statistics(obs)
-    return units.label_report(stats, units.resolve_labels(stats, table(spark, d, "unit_ref"), units.source_links(obs)))
+    stats = materialise(units.source_statistics(obs))
+    return units.label_report(stats, units.resolve_labels(stats, table(spark, d, "unit_ref"), units.source_links(obs, stats)))
 
 
 def _referring(spark: SparkSession, d: str) -> list[DataFrame]:

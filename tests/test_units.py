@@ -66,7 +66,8 @@ def test_scale_and_offset_from_entities_that_both_recorded(spark):
     df = spark.createDataFrame([(i, "r", a, n, v, u, at, "x") for i, (a, n, v, u, at) in enumerate(rows)], SP)
     _, _, attrs, units = frames(spark, [])
     obs = U.observations(df, U.spellings([df], attrs), "param_id", True)
-    links = U.source_links(obs)
+    stats = U.source_statistics(obs)
+    links = U.source_links(obs, stats)
     assert {(r.label, r.other, r.n) for r in links.collect()} == {("grd", "UO:0000027", 300), ("UO:0000027", "grd", 300)}
     told = lambda labels: {r.label: r.unit for r in labels.collect()}.get("grd")
     assert told(U.resolve_labels(U.source_statistics(obs), units, links)) == "UO:0000012"

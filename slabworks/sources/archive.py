@@ -66,12 +66,12 @@ class Archive:
 
     def describe(self) -> DataFrame:
         """(what, value): spectra, points, whether there are peaks and chromatograms, and the arrays of the signal tables."""
-        from slabworks.operators.facets import FACET_KEYS, facet
+        from slabworks.operators.facets import facet
 
         rows: list[tuple[str, str]] = []
         meta = self.member("spectra_metadata")
         if meta is not None:
-            rows.append(("spectra", str((facet(meta, "spectrum") if "spectrum" in meta.columns and "spectrum" in FACET_KEYS else meta).count())))
+            rows.append(("spectra", str((facet(meta, "spectrum") if "spectrum" in meta.columns else meta).count())))
         signal = self.signal()
         if signal is not None:
             layout, points = signal

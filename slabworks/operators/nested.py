@@ -220,19 +220,22 @@ def as_json(*columns: Column | str) -> Column:
 
 
 PARAM_DDL = "value struct<integer:bigint,float:double,string:string,boolean:boolean>, accession string, name string, unit string"
+ARRAY_DDL = f"data array<smallint>, name struct<{PARAM_DDL}>, data_type string, compression string, unit string, data_processing_ref string"
 
 
 def run_children(spectrum: DataFrame, selected_ion: DataFrame, with_record: bool = False, payload: bool = False) -> DataFrame:
     """Children of spectra (parameters, auxiliary arrays and their parameters) and of ions (parameters).
 
-    Repeated deliveries of a record are one record, read from the latest; a null loaded_at is the earliest.
+    Repeated deliveries of a record are one record; each column is read from the latest that holds it, so a
+    later one without it takes no children away, and an empty array does. A null loaded_at is the earliest.
     payload: whether the records of auxiliary arrays hold their data too; else it is neither written as text
-    nor shuffled.
+    nor shuffled. array_table needs it.
     """
     arrays = spectrum.schema["auxiliary_arrays"].dataType.elementType
     if not payload and "data" in arrays.names and len(arrays.names) > 1:
         spectrum = spectrum.withColumn("auxiliary_arrays", F.transform("auxiliary_arrays", lambda a: a.dropFields("data")))
-    once = lambda df, key, *cols: df.groupBy(key).agg(F.max_by(as_json(*cols), F.struct("loaded_at")).alias("json"))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("loaded_at"))).alias(c)
+    once = lambda df, key, *cols: df.groupBy(key).agg(*map(latest, cols)).select(key, as_json(*cols).alias("json"))
     outer, aux, inner = ("parameters",), ("auxiliary_arrays",), ("auxiliary_arrays", "parameters")
     spectra = flatten(once(spectrum, "spectrum_key", "parameters", "auxiliary_arrays"), "spectrum_key", "json", "spectrum", [outer, aux, inner], (aux,), with_record)
     ions = flatten(once(selected_ion, "ion_id", "parameters"), "ion_id", "json", "selected_ion", [outer], (), with_record)
@@ -245,3 +248,12 @@ def parameter_table(found: DataFrame) -> DataFrame:
     return found.where("field_path <> 'auxiliary_arrays'").select("owner_table", "owner_id", "field_path", "pos_outer", "pos_inner", p.alias("p")).select(
         "owner_table", "owner_id", "field_path", "pos_outer", "pos_inner", *[F.col(f"p.value.{s}").alias(f"value_{s}") for s in ("integer", "float", "string", "boolean")], "p.accession", "p.name", "p.unit"
     )
+
+
+def array_table(found: DataFrame) -> DataFrame:
+    """The auxiliary arrays with typed columns: parent, place, the parameter that names them, how they are stored, their data."""
+    a = F.from_json("record", ARRAY_DDL)
+    return found.where("field_path = 'auxiliary_arrays'").select("owner_table", "owner_id", "field_path", "pos_outer", "pos_inner", a.alias("a")).select(
+        "owner_table", "owner_id", "field_path", "pos_outer", "pos_inner", *[F.col(f"a.name.value.{s}").alias(f"name_{s}") for s in ("integer", "float", "string", "boolean")],
+        *[F.col(f"a.name.{s}").alias(f"name_{s}") for s in ("accession", "name", "unit")], "a.data_type", "a.compression", "a.unit", "a.data_processing_ref", "a.data"
+    )

@@ -94,7 +94,8 @@ def _ingest(kind: str) -> Query:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.run_children(table(spark, d, "spectrum"), table(spark, d, "selected_ion"))
+    """All children, told from whole records with the data of their arrays."""
+    return nested.run_children(table(spark, d, "spectrum"), table(spark, d, "selected_ion"), payload=True)
 
 
 def p6_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +103,11 @@ def p6_parameters(spark: SparkSession, d: str) -> DataFrame:
     return nested.parameter_table(nested.run_children(table(spark, d, "spectrum"), table(spark, d, "selected_ion"), with_record=True))
 
 
+def p6_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The auxiliary arrays with their own columns and their data."""
+    return nested.array_table(nested.run_children(table(spark, d, "spectrum"), table(spark, d, "selected_ion"), with_record=True, payload=True))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_common_values": p1_common_values,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "p5_file_entry": _ingest("file_entry"),
     "p6_found": p6_found,
     "p6_parameters": p6_parameters,
+    "p6_arrays": p6_arrays,
 }
 
 # --- the same in SQL ---------------------------------------------------------------------------------
@@ -321,4 +328,7 @@ ORACLES: dict[str, str] = {
 UNION ALL SELECT 'spectrum', k, 'auxiliary_arrays', o, CAST(-1 AS INTEGER) FROM sa WHERE a IS NOT NULL""",
     "p6_parameters": _P6_BASE + f"""SELECT owner_table, owner_id, field_path, pos_outer, pos_inner, p.value.integer AS value_integer, p.value.float AS value_float, p.value.string AS value_string,
   p.value.boolean AS value_boolean, p.accession AS accession, p.name AS name, p.unit AS unit FROM rows0 WHERE p IS NOT NULL AND {_FILLED}""",
+    "p6_arrays": _P6_BASE + """SELECT 'spectrum' AS owner_table, k AS owner_id, 'auxiliary_arrays' AS field_path, o AS pos_outer, CAST(-1 AS INTEGER) AS pos_inner, a.name.value.integer AS name_integer, a.name.value.float AS name_float,
+  a.name.value.string AS name_string, a.name.value.boolean AS name_boolean, a.name.accession AS name_accession, a.name.name AS name_name, a.name.unit AS name_unit, a.data_type AS data_type, a.compression AS compression,
+  a.unit AS unit, a.data_processing_ref AS data_processing_ref, a.data AS data FROM sa WHERE a IS NOT NULL""",
 }

@@ -86,3 +86,32 @@ def test_batches_are_cut_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(N, "BATCH_BYTES", 100)
     part = N.flatten(df, "key", "json", "t", [("parameters",)], with_record=True)
     assert {tuple(r) for r in part.collect()} == want and len(want) == 320
+
+
+def test_later_deliveries_without_a_column_take_nothing_away(spark):
+    P = "struct<value:struct<integer:bigint,float:double,string:string,boolean:boolean>,accession:string,name:string,unit:string>"
+    p = lambda i: ((i, None, None, None), None, None, None)
+    s = spark.createDataFrame(
+        [(1, [p(1)], [([1], [p(2)])], "2024"), (1, None, None, "2025"), (2, [p(3)], [([2], None)], "2024"), (2, [p(4)], None, "2025"), (3, [p(5)], [([3], None)], "2024"), (3, [], [], "2025")],
+        f"spectrum_key bigint, parameters array<{P}>, auxiliary_arrays array<struct<data:array<smallint>,parameters:array<{P}>>>, loaded_at string",
+    )
+    i = spark.createDataFrame([(9, [p(6)], "2024"), (9, None, "2025")], f"ion_id bigint, parameters array<{P}>, loaded_at string")
+    found = N.run_children(s, i, with_record=True)
+    assert sorted((r.owner_table, r.owner_id, r.field_path, r.value_integer) for r in N.parameter_table(found).collect()) == [
+        ("selected_ion", 9, "parameters", 6), ("spectrum", 1, "auxiliary_arrays.parameters", 2), ("spectrum", 1, "parameters", 1), ("spectrum", 2, "parameters", 4),
+    ]
+    assert sorted(r.owner_id for r in found.where("field_path = 'auxiliary_arrays'").collect()) == [1, 2]
+
+
+def test_arrays_come_out_with_their_data(spark):
+    P = "struct<value:struct<integer:bigint,float:double,string:string,boolean:boolean>,accession:string,name:string,unit:string>"
+    p = lambda s: ((None, None, s, None), "MS:1", None, "u")
+    aux = f"array<struct<data:array<smallint>,name:{P},data_type:string,compression:string,unit:string,parameters:array<{P}>,data_processing_ref:string>>"
+    s = spark.createDataFrame(
+        [(1, None, [([1, None, -32768], p('"data":[7]'), "f", "z", "m", [p("x")], "dp"), None, ([], None, None, None, None, None, None), (None,) * 7], "2025")],
+        f"spectrum_key bigint, parameters array<{P}>, auxiliary_arrays {aux}, loaded_at string",
+    )
+    i = spark.createDataFrame([], f"ion_id bigint, parameters array<{P}>, loaded_at string")
+    got = {r.pos_outer: r for r in N.array_table(N.run_children(s, i, with_record=True, payload=True)).collect()}
+    assert {k: r.data for k, r in got.items()} == {0: [1, None, -32768], 2: [], 3: None}
+    assert (got[0].name_string, got[0].name_accession, got[0].name_unit, got[0].data_type, got[0].compression, got[0].unit, got[0].data_processing_ref) == ('"data":[7]', "MS:1", "u", "f", "z", "m", "dp")

@@ -84,11 +84,14 @@ def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
 
 
-def _as_lists(parts: list[np.ndarray | None]) -> pa.Array:
-    """A list array of the parts; not-a-number becomes null, None a null list."""
-    offsets = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in parts])]).astype(np.int32)
-    values = np.concatenate([np.zeros(0), *[p for p in parts if p is not None]]).astype(np.float64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, mask=np.isnan(values)), mask=pa.array([p is None for p in parts], pa.bool_()))
+def _list_array(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> pa.Array:
+    """A list array of values behind each other, each list beginning where ``at`` says; not-a-number becomes null."""
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, mask=np.isnan(values)), mask=pa.array(~there))
+
+
+def _as_lists(parts: list[np.ndarray]) -> pa.Array:
+    """A list array of the parts."""
+    return _list_array(np.concatenate([np.zeros(0), *parts]).astype(np.float64), _begins([len(p) for p in parts]), np.ones(len(parts), dtype=bool))
 
 
 def running_sums(deltas: np.ndarray) -> np.ndarray:
@@ -193,104 +196,241 @@ def extract_from_chunks(
 # --- numpress, as published --------------------------------------------------------------------------
 
 
-def _half_bytes(values: np.ndarray) -> bytes:
-    """Integers as half-bytes: a count of leading zero (0-8) or one (9-16) half-bytes, then the others, lowest first."""
-    u = np.asarray(values).astype(np.int64).astype(np.uint32)
-    if not len(u):
-        return b""
-    zeros = sum((u.astype(np.uint64) >> np.uint64(32 - 4 * j)) == 0 for j in range(1, 9)).astype(np.int64)
-    ones = sum((u.astype(np.uint64) >> np.uint64(32 - 4 * j)) == (1 << 4 * j) - 1 for j in range(1, 8)).astype(np.int64)
+# Kernels take many lists at once, behind each other, with ``at`` where each begins and the last ends: lists are
+# often short, and numpy's calls then cost far more than their values. Encoders give all bytes and where those of each
+# list begin; decoders all values, where those of each list begin, and which lists could be read.
+
+#: Values or bytes that are worked on at a time, lists being kept whole.
+AT_ONCE = 1 << 18
+_POWERS = [np.uint32(1 << 4 * k) for k in range(8)]
+
+
+def _begins(lengths) -> np.ndarray:
+    """Where lists of these lengths begin, and the last one ends."""
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every value's list, and its place there."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return owner, np.arange(len(owner)) - at[owner]
+
+
+def _most(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The largest value of every list, 0 for an empty one."""
+    out, some = np.zeros(len(at) - 1), at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.maximum.reduceat(values, at[:-1][some])
+    return out
+
+
+def _second_differences(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """From the third value of every list on, 0 before."""
+    out = np.zeros_like(values)
+    out[2:] = values[2:] - 2 * values[1:-1] + values[:-2]
+    out[place < 2] = 0
+    return out
+
+
+def _sums(values: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sums of every list's whole numbers up to each of them."""
+    total = _begins(values)
+    return total[1:] - total[at[:-1]][owner]
+
+
+def _to_half_bytes(numbers: np.ndarray, at: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integers as half-bytes: a count of leading zero (0-8) or one (9-16) half-bytes, then the others, lowest first.
+
+    free: as many bytes stay zero in front of each list's.
+    """
+    u = numbers.astype(np.int64).astype(np.uint32)
+    zeros = sum((u < p).view(np.int8) for p in _POWERS)
+    ones = sum((~u < p).view(np.int8) for p in _POWERS[1:])
     kept = 8 - np.maximum(zeros, ones)
-    size = 1 + kept
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()) + 1, dtype=np.uint8)
-    out[at] = np.where(ones > 0, ones + 8, zeros)
+    ends = _begins(1 + kept.astype(np.int64))
+    # an odd count gets a filler: a count of no zeros needs eight half-bytes behind it, so at the very end it is none
+    begins = _begins(free + (np.diff(ends[at]) + 1) // 2)
+    where = ends[:-1] + np.repeat(2 * (begins[:-1] + free) - ends[at[:-1]], np.diff(at))
+    out = np.zeros(2 * int(begins[-1]), dtype=np.uint8)
+    out[where] = np.where(ones > 0, ones + 8, zeros)
     for k in range(8):
-        some = kept > k
-        out[at[some] + 1 + k] = (u[some] >> np.uint32(4 * k)) & np.uint32(0xF)
-    # the filler of an odd count: a count of no zeros needs eight half-bytes behind it, so at the very end it is none
-    out = out[: len(out) - len(out) % 2]
-    return ((out[0::2] << 4) | out[1::2]).tobytes()
+        some = np.flatnonzero(kept > k)
+        out[where[some] + 1 + k] = (u[some] >> np.uint32(4 * k)) & np.uint32(0xF)
+    return (out[0::2] << 4) | out[1::2], begins
 
 
-def _from_half_bytes(data: bytes) -> np.ndarray:
-    """The integers; raises ValueError where the last one is cut off."""
-    raw = np.frombuffer(data, dtype=np.uint8)
+def _of_half_bytes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The integers; a list whose last one is cut off can't be read."""
     halves = np.stack([raw >> 4, raw & 0xF], axis=1).ravel()
-    n = len(halves)
+    owner = np.repeat(np.arange(len(at) - 1), 2 * np.diff(at))
+    end = 2 * at[1:][owner]
     lead = np.where(halves <= 8, halves, halves - 8).astype(np.int64)
-    follows = (np.arange(n) + 9 - lead).tolist()
-    heads, i = [], 0
+    behind = np.arange(len(halves)) + 9 - lead
+    follows = np.minimum(behind, end).tolist()
+    heads, i, n = [], 0, len(halves)
     while i < n:  # where a number begins only the one before it tells
         heads.append(i)
         i = follows[i]
-    if heads and heads[-1] == n - 1 and halves[-1] == 0:
-        heads.pop()
-    elif i != n:
-        raise ValueError("the last number is cut off")
-    at = np.array(heads, dtype=np.int64)
-    kept = 8 - lead[at]
-    u = np.where(halves[at] > 8, np.uint64(0xFFFFFFFF), np.uint64(0))
+    head = np.array(heads, dtype=np.int64)
+    cut = behind[head] > end[head]
+    filler = cut & (head == end[head] - 1) & (halves[head] == 0)
+    whole = np.ones(len(at) - 1, dtype=bool)
+    whole[owner[head[cut & ~filler]]] = False
+    head = head[~cut & whole[owner[head]]]
+    kept = 8 - lead[head]
+    u = np.where(halves[head] > 8, np.uint32(0xFFFFFFFF), np.uint32(0))
     for k in range(8):
-        some = kept > k
-        shift = np.uint64(4 * k)
-        u[some] = (u[some] & ~(np.uint64(0xF) << shift)) | (halves[at[some] + 1 + k].astype(np.uint64) << shift)
-    return (u & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).astype(np.int64)
+        some = np.flatnonzero(kept > k)
+        shift = np.uint32(4 * k)
+        u[some] = (u[some] & ~(np.uint32(0xF) << shift)) | (halves[head[some] + 1 + k].astype(np.uint32) << shift)
+    return u.view(np.int32).astype(np.int64), _begins(np.bincount(owner[head], minlength=len(at) - 1)), whole
 
 
-def linear_encode(values: np.ndarray) -> bytes:
+def _linear_bytes(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fixed point, then the second differences as half-bytes; nulls are written as zeros."""
-    v = np.nan_to_num(np.asarray(values, dtype=float), nan=0.0)
-    most = max(float(np.abs(v).max()) if len(v) else 0.0, 1e-12)
-    if len(v) > 2:
-        most = max(most, float(np.abs(v[2:] - 2 * v[1:-1] + v[:-2]).max()))
+    v, n = np.nan_to_num(values, nan=0.0), np.diff(at)
+    owner, place = _places(at)
+    # a difference that isn't a number counts for nothing
+    most = np.fmax(np.maximum(_most(np.abs(v), at), 1e-12), _most(np.abs(_second_differences(v, place)), at))
     point = np.floor(0x7FFFFFFF / most)
-    ints = np.floor(v * point + 0.5).astype(np.int64)
-    if np.abs(np.diff(ints, 2)).max(initial=0) > 0x7FFFFFFF:  # rounding adds up to 2 to a second difference
-        point = np.floor((0x7FFFFFFF - 4) / most)
-        ints = np.floor(v * point + 0.5).astype(np.int64)
-    head = np.array([point], dtype=">f8").tobytes() + ints[:2].astype("<i4").tobytes()
-    return head + (_half_bytes(ints[2:] - (2 * ints[1:-1] - ints[:-2])) if len(v) > 2 else b"")
+    ints = np.floor(v * point[owner] + 0.5).astype(np.int64)
+    second = _second_differences(ints, place)
+    over = _most(np.abs(second), at) > 0x7FFFFFFF  # rounding adds up to 2 to a second difference
+    if over.any():
+        point = np.where(over, np.floor((0x7FFFFFFF - 4) / most), point)
+        ints = np.floor(v * point[owner] + 0.5).astype(np.int64)
+        second = _second_differences(ints, place)
+    out, begins = _to_half_bytes(second[place >= 2], _begins(np.maximum(n - 2, 0)), 8 + 4 * np.minimum(n, 2))
+    out[begins[:-1, None] + np.arange(8)] = point.astype(">f8").view(np.uint8).reshape(-1, 8)
+    first = place < 2
+    out[(begins[owner[first]] + 8 + 4 * place[first])[:, None] + np.arange(4)] = ints[first].astype("<i4").view(np.uint8).reshape(-1, 4)
+    return out, begins
+
+
+def _linear_values(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decoded values; zeros stand for nulls and come back as NaN."""
+    n = np.diff(at)
+    second, second_at, whole = _of_half_bytes(raw[_places(at)[1] >= 16], _begins(np.maximum(n - 16, 0)))
+    whole &= (n == 8) | (n == 12) | (n >= 16)
+    written = np.where(whole, np.minimum((n - 8) // 4, 2), 0)
+    out = _begins(written + np.diff(second_at))
+    owner, place = _places(out)
+    steps = np.zeros(len(owner), dtype=np.int64)
+    steps[place >= 2] = second
+    first = np.zeros((len(n), 2), dtype=np.int64)
+    for k in (0, 1):
+        some = np.flatnonzero(written > k)
+        first[some, k] = raw[(at[some] + 8 + 4 * k)[:, None] + np.arange(4)].view("<i4").ravel()
+    steps[place == 1] = (first[:, 1] - first[:, 0])[written == 2]
+    ints = first[:, 0][owner] + _sums(_sums(steps, out, owner), out, owner)
+    v = ints.astype(float) / _points(raw, at, whole)[owner]
+    return np.where(v == 0, np.nan, v), out, whole
+
+
+def _points(raw: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The fixed points that whole lists begin with."""
+    out = np.ones(len(whole))
+    out[whole] = raw[at[:-1][whole][:, None] + np.arange(8)].view(">f8").ravel()
+    return out
+
+
+def _slof_bytes(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms as 16-bit fixed point; nulls are written as zeros."""
+    logs = np.log1p(np.nan_to_num(values, nan=0.0))
+    owner, place = _places(at)
+    point = np.floor(0xFFFF / np.maximum(_most(logs, at), 1e-9))
+    begins = _begins(8 + 2 * np.diff(at))
+    out = np.zeros(int(begins[-1]), dtype=np.uint8)
+    out[begins[:-1, None] + np.arange(8)] = point.astype(">f8").view(np.uint8).reshape(-1, 8)
+    out[(begins[owner] + 8 + 2 * place)[:, None] + np.arange(2)] = np.floor(logs * point[owner] + 0.5).clip(0, 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return out, begins
+
+
+def _slof_values(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.diff(at)
+    whole = (n >= 8) & (n % 2 == 0)
+    owner, place = _places(at)
+    codes = raw[(place >= 8) & whole[owner]].view("<u2")
+    out = _begins(np.where(whole, (n - 8) // 2, 0))
+    return np.expm1(codes / _points(raw, at, whole)[_places(out)[0]]), out, whole
+
+
+def _pic_bytes(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded counts as half-bytes; nulls are written as zeros."""
+    return _to_half_bytes(np.floor(np.nan_to_num(values, nan=0.0) + 0.5), at, np.zeros(len(at) - 1, dtype=np.int64))
+
+
+def _pic_values(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers, out, whole = _of_half_bytes(raw, at)
+    return numbers.astype(float), out, whole
+
+
+def _bytes_of_one(f, values) -> bytes:
+    v = np.asarray(values, dtype=float)
+    return f(v, _begins([len(v)]))[0].tobytes()
+
+
+def _values_of_one(f, data: bytes) -> np.ndarray:
+    """Raises ValueError for bytes that can't be read."""
+    values, _, whole = f(np.frombuffer(data, dtype=np.uint8), _begins([len(data)]))
+    if not whole.all():
+        raise ValueError("the bytes are cut off")
+    return values
+
+
+def _half_bytes(values: np.ndarray) -> bytes:
+    v = np.asarray(values)
+    return _to_half_bytes(v, _begins([len(v)]), np.zeros(1, dtype=np.int64))[0].tobytes()
+
+
+def _from_half_bytes(data: bytes) -> np.ndarray:
+    return _values_of_one(_of_half_bytes, data)
+
+
+def linear_encode(values: np.ndarray) -> bytes:
+    return _bytes_of_one(_linear_bytes, values)
 
 
 def linear_decode(data: bytes) -> np.ndarray:
-    """Decoded values; zeros stand for nulls and come back as NaN."""
-    point = np.frombuffer(data[:8], dtype=">f8")[0]
-    ints = np.frombuffer(data[8:16], dtype="<i4").astype(np.int64)
-    if len(data) > 16:
-        second = _from_half_bytes(data[16:])
-        steps = (ints[1] - ints[0]) + np.cumsum(second)
-        ints = np.concatenate([ints, ints[1] + np.cumsum(steps)])
-    v = ints.astype(float) / point
-    return np.where(v == 0, np.nan, v)
+    return _values_of_one(_linear_values, data)
 
 
 def slof_encode(values: np.ndarray) -> bytes:
-    """Logarithms as 16-bit fixed point; nulls are written as zeros."""
-    logs = np.log1p(np.nan_to_num(np.asarray(values, dtype=float), nan=0.0))
-    point = np.floor(0xFFFF / max(float(logs.max()) if len(logs) else 0.0, 1e-9))
-    return np.array([point], dtype=">f8").tobytes() + np.floor(logs * point + 0.5).clip(0, 0xFFFF).astype("<u2").tobytes()
+    return _bytes_of_one(_slof_bytes, values)
 
 
 def slof_decode(data: bytes) -> np.ndarray:
-    return np.expm1(np.frombuffer(data[8:], dtype="<u2") / np.frombuffer(data[:8], dtype=">f8")[0])
+    return _values_of_one(_slof_values, data)
 
 
 def pic_encode(values: np.ndarray) -> bytes:
-    """Rounded counts as half-bytes; nulls are written as zeros."""
-    return _half_bytes(np.floor(np.nan_to_num(np.asarray(values, dtype=float), nan=0.0) + 0.5))
+    return _bytes_of_one(_pic_bytes, values)
 
 
 def pic_decode(data: bytes) -> np.ndarray:
-    return _from_half_bytes(data).astype(float)
+    return _values_of_one(_pic_values, data)
+
+
+def _in_groups(f, values: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """What a kernel gives for groups of lists of about AT_ONCE values; a longer list goes alone."""
+    out, i = [], 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + AT_ONCE, "right")) - 1)
+        out.append(f(values[at[i] : at[j]], at[i : j + 1] - at[i]))
+        i = j
+    return out
+
+
+def _joined(parts: list[tuple], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The groups' values behind each other, and where each list begins."""
+    return np.concatenate([np.zeros(0, dtype=kind), *[p[0] for p in parts]]), _begins(np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(p[1]) for p in parts]]))
 
 
 def _encoder(f):
     @F.arrow_udf(T.BinaryType())
     def encode(lists: pa.Array) -> pa.Array:
-        values, at = _lists(lists)
-        there = lists.is_valid().to_numpy(zero_copy_only=False)
-        return pa.array([f(values[a:b]) if t else None for a, b, t in zip(at[:-1], at[1:], there)], pa.binary())
+        raw, at = _joined(_in_groups(f, *_lists(lists)), np.uint8)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [lists.is_valid().buffers()[1], pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
 
     return encode
 
@@ -298,11 +438,22 @@ def _encoder(f):
 def _decoder(f):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def decode(blobs: pa.Array) -> pa.Array:
-        return _as_lists([_or_none(f, b.as_py()) for b in blobs])
+        there = blobs.is_valid().to_numpy(zero_copy_only=False)
+        kept = pa.concat_arrays([blobs.cast(pa.large_binary()).fill_null(b"")])
+        _, at, raw = kept.buffers()
+        at = np.frombuffer(at, dtype=np.int64)[kept.offset : kept.offset + len(kept) + 1]
+        parts = _in_groups(f, np.frombuffer(raw or b"", dtype=np.uint8)[at[0] : at[-1]], at - at[0])
+        return _list_array(*_joined(parts, np.float64), there & np.concatenate([np.zeros(0, dtype=bool), *[p[2] for p in parts]]))
 
     return decode
 
 
+def _values_of_many(f, blobs: list[bytes]) -> list[np.ndarray | None]:
+    """What a decoding kernel gives for each, None for damaged bytes."""
+    parts = _in_groups(f, np.frombuffer(b"".join(blobs), dtype=np.uint8), _begins([len(b) for b in blobs]))
+    return [values[a:b] if w else None for values, at, whole in parts for a, b, w in zip(at[:-1], at[1:], whole)]
+
+
 def _or_none(f, blob: bytes | None) -> np.ndarray | None:
     """What a decoder gives, None for no or damaged bytes."""
     try:
@@ -311,9 +462,9 @@ def _or_none(f, blob: bytes | None) -> np.ndarray | None:
         return None
 
 
-encode_linear, decode_linear = _encoder(linear_encode), _decoder(linear_decode)
-encode_slof, decode_slof = _encoder(slof_encode), _decoder(slof_decode)
-encode_pic, decode_pic = _encoder(pic_encode), _decoder(pic_decode)
+encode_linear, decode_linear = _encoder(_linear_bytes), _decoder(_linear_values)
+encode_slof, decode_slof = _encoder(_slof_bytes), _decoder(_slof_values)
+encode_pic, decode_pic = _encoder(_pic_bytes), _decoder(_pic_values)
 
 
 # --- auxiliary arrays --------------------------------------------------------------------------------
@@ -321,9 +472,16 @@ encode_pic, decode_pic = _encoder(pic_encode), _decoder(pic_decode)
 _CODECS = {NUMPRESS_SLOF: (slof_encode, slof_decode), NUMPRESS_PIC: (pic_encode, pic_decode), NUMPRESS_LINEAR: (linear_encode, linear_decode)}
 
 
+_KERNELS = {NUMPRESS_SLOF: _slof_values, NUMPRESS_PIC: _pic_values, NUMPRESS_LINEAR: _linear_values}
+
+
+def _raw(data) -> bytes:
+    return b"" if data is None else np.asarray(data).astype(np.int64).astype(np.uint8).tobytes()
+
+
 def decode_array(data, compression: str | None, data_type: str | None) -> np.ndarray | list[str] | None:
     """The values of an encoded array: int64, float64 or a list of texts; None where bytes and type don't fit."""
-    raw = b"" if data is None else np.asarray(data).astype(np.int64).astype(np.uint8).tobytes()
+    raw = _raw(data)
     if compression in _CODECS:
         return _or_none(_CODECS[compression][1], raw) if raw else np.zeros(0)
     if compression == ZLIB:
@@ -354,8 +512,9 @@ _TYPED = T.StructType([T.StructField("integers", T.ArrayType(T.LongType())), T.S
 def decode_auxiliary(data: pd.Series, compression: pd.Series, data_type: pd.Series) -> pd.DataFrame:
     """Typed: one of the three is filled, none where the bytes can't be read."""
     out: dict[str, list] = {"integers": [], "floats": [], "texts": []}
+    packed = {c: iter(_values_of_many(f, [_raw(d) for d in data[compression == c] if d is not None and len(d)])) for c, f in _KERNELS.items()}
     for d, c, t in zip(data, compression, data_type):
-        v = decode_array(d, c, t)
+        v = next(packed[c]) if c in packed and d is not None and len(d) else decode_array(d, c, t)
         kind = None if v is None else "texts" if isinstance(v, list) else "integers" if v.dtype.kind == "i" else "floats"
         for name, column in out.items():
             column.append(v if name == kind else None)

@@ -798,7 +798,7 @@ def auxiliary_values(spark, d):
 @query("SELECT l_orderkey, count(*) AS n, round(sum(l_extendedprice), 2) AS linear_total, sum(floor(l_extendedprice + 0.5)) AS pic_total, true AS slof_fits FROM lineitem GROUP BY 1")
 def numpress_round_trip(spark, d):
     """Each order's prices through the three codecs and back: to the cent, to the whole, and within a thousandth."""
-    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("v"))
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_extendedprice")).alias("v"))
     back = lists.select("l_orderkey", "v", chunks.decode_linear(chunks.encode_linear("v")).alias("l"), chunks.decode_slof(chunks.encode_slof("v")).alias("s"), chunks.decode_pic(chunks.encode_pic("v")).alias("p"))
     total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda t, x: t + f(x))
     near = F.forall(F.zip_with("v", "s", lambda a, b: F.abs(a - b) <= a * 1e-3), lambda ok: ok)

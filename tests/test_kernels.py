@@ -168,6 +168,55 @@ def test_long_chunks_are_linear(spark):
         assert time.time() - began < 20 and got.n >= 31999 and got.s == pytest.approx(sum(range(32000)) / 64, rel=1e-6) and got.i == sum(i for i in range(32000) if i % 9)
 
 
+CODECS = {"linear": (C.encode_linear, C.decode_linear, C.linear_encode, C.linear_decode), "slof": (C.encode_slof, C.decode_slof, C.slof_encode, C.slof_decode), "pic": (C.encode_pic, C.decode_pic, C.pic_encode, C.pic_decode)}
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_many_lists_in_numpress_as_one_by_one(spark, codec, monkeypatch):
+    """Null, empty, short and long lists in one batch, and damaged bytes among whole ones, which spoil only themselves."""
+    import pyarrow as pa
+
+    encode, decode, one_encoded, one_decoded = CODECS[codec]
+    rng = np.random.default_rng(5)
+    lists = [None if k % 17 == 3 else np.round(rng.random(k % 9 if k % 50 else k) * 1e4, k % 3).tolist() for k in range(300)]
+    blobs = [None if v is None else one_encoded(np.array(v)) for v in lists]
+    damaged = [b if b is None or k % 4 else b[: k % (len(b) + 1)] for k, b in enumerate(blobs)]
+    want = [C._or_none(one_decoded, b) for b in damaged]
+    want = [None if v is None else [None if np.isnan(x) else x for x in v.tolist()] for v in want]
+    assert sum(v is None for v in want) > sum(v is None for v in lists)
+    for at_once in (1 << 18, 10):
+        monkeypatch.setattr(C, "AT_ONCE", at_once)
+        assert encode.func(pa.array(lists, pa.list_(pa.float64()))).to_pylist() == blobs
+        assert decode.func(pa.array(damaged, pa.binary())).to_pylist() == want
+        assert decode.func(pa.array(damaged, pa.binary())[5:-4]).to_pylist() == want[5:-4]
+        assert decode.func(pa.array([], pa.binary())).to_pylist() == []
+
+
+WRITTEN = [
+    "41547ae140000000b7f52820c97a14407121ea7410404a0778",
+    "40b63c00000000000000952ffcff",
+    "871ff6ff307111",
+]
+
+
+def test_numpress_bytes():
+    """Bytes as they were written list by list."""
+    assert C.linear_encode([100.5, 200.25, 300.0, 400.0, 123.25]).hex() == WRITTEN[0] and C.slof_encode([0.0, 7.5, 1e5]).hex() == WRITTEN[1] and C.pic_encode([0, 1, -1, 255, 70000]).hex() == WRITTEN[2]
+
+
+def test_many_short_lists_in_numpress(spark):
+    """40,000 lists of four through the three codecs: a few numpy calls for each list took a minute or so."""
+    import time
+
+    lists = spark.range(0, 40000, 1, 1).select(F.transform(F.array(*map(F.lit, range(4))), lambda i: 900.0 + (F.col("id") * 7919 + i * 104729) % 100000 / 100.0).alias("v"))
+    back = lists.select("v", C.decode_linear(C.encode_linear("v")).alias("l"), C.decode_slof(C.encode_slof("v")).alias("s"), C.decode_pic(C.encode_pic("v")).alias("p"))
+    near = lambda c, by: F.count_if(F.forall(F.zip_with("v", c, lambda a, b: F.abs(a - b) <= by), lambda ok: ok))
+    lists.limit(1).select(C.encode_pic("v")).collect()  # starting Python is nobody's
+    began = time.time()
+    got = back.agg(near("l", 1e-3), near("s", 2.0), near("p", 0.5)).first()
+    assert tuple(got) == (40000, 40000, 40000) and time.time() - began < 15
+
+
 @pytest.mark.parametrize("transform, near", [(C.NUMPRESS_SLOF, 1e-3), (C.NUMPRESS_PIC, 0.5)])
 def test_secondary_lists_in_numpress(spark, transform, near):
     rows = [(1, i, 100.0 + i, float(i * 7 % 50)) for i in range(60)]
